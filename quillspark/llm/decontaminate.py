@@ -47,6 +47,12 @@ def _ngrams(w: Column, n: Column | int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.md5(F.array_join(F.slice(w, i, n), " ").cast("binary")).alias("key")))
 
 
+def _whole_grams(w: Column, n: int) -> Column:
+    """(n, f) of every n words in a row, each once."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(w, i, n), " ")).alias("f"))))
+
+
 def match(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str, item_col: str, item_text_col: str, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): rows has doc_id, rid, n_words for every document; hits has doc_id, rid, n_hit, n_items, items for those hit."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
@@ -65,9 +71,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str,
     split = base.select("doc_id", "rid", words(F.col("text")).alias("w"))
     # One pass over all texts: the words' number, and a row per fingerprint to join with the benchmark's.
     found = [F.transform("f", lambda f: F.struct(F.lit(span).alias("n"), f.alias("f")))]
-    for n in short:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        found.append(F.array_distinct(F.transform(at, lambda i, n=n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("f")))))
+    found += [_whole_grams(F.col("w"), n) for n in short]
     rows = with_fingerprints(split.select("doc_id", "rid", *(["w"] if short else []), F.size("w").alias("n_words"), hashed.alias("f")), "f", span, gram)
     rows = rows.select("doc_id", "rid", "n_words", (F.flatten(F.array(*found)) if short else found[0]).alias("found"))
     rows = rows.select("doc_id", "rid", "n_words", F.explode_outer("found").alias("p")).select("doc_id", "rid", "n_words", F.col("p.n").alias("pn"), F.col("p.f").alias("pf"))
