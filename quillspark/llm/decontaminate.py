@@ -106,3 +106,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns and rows; texts are not shuffled unless very many are."""
+    rows, hits = match(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, **options)
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("rid") == F.col("__r"))
+    hits = hits.withColumnsRenamed({"doc_id": "__d", "rid": "__r"})
+    found = rows.join(hits, same).where(20 * F.col("n_hit") >= F.col("n_words")).select("__d", "__r")
+    found = broadcast_if_small(materialize(found, "contaminated"))
+    keyed = docs.withColumn("__rid", row_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(found, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__rid") == F.col("__r")), "left_anti").select(*docs.columns)
