@@ -97,7 +97,7 @@ def cluster(df: DataFrame, *, vector: str, order: list[str], text: str, summariz
 
     points = df.select(*order, F.col(vector).alias("__v"), F.col(text).alias("__t"))
     if df.limit(LARGEST + 1).count() <= LARGEST:
-        made = points.groupBy(F.lit(1)).applyInPandas(tree, schema)
+        made = points.groupBy().applyInPandas(tree, schema)
         return df.join(F.broadcast(made), order, "left")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -118,5 +118,5 @@ def cluster(df: DataFrame, *, vector: str, order: list[str], text: str, summariz
         part[output_key] = [[said[a] for a in path] for path in up]
         return part[over.names]
 
-    made = centres.join(heads, "__bucket").groupBy(F.lit(1)).applyInPandas(over_buckets, over)
+    made = centres.join(heads, "__bucket").groupBy().applyInPandas(over_buckets, over)
     return rows.join(F.broadcast(made), "__bucket", "left").drop("__bucket")
