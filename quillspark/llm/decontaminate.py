@@ -63,7 +63,9 @@ def match(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str,
     keyed = broadcast_if_small(materialize(keyed.groupBy("n", "key").agg(F.collect_set("item").alias("items")), "benchmark-windows"))
     hashed = F.transform("w", lambda x: F.xxhash64(x))
     short = sorted(r[0] for r in items.where(F.size("w") < span).select(F.size("w")).distinct().collect())
-    prints = with_fingerprints(items.where(F.size("w") >= span).select(hashed.alias("f")), "f", span, gram).select(F.lit(span).alias("n"), F.explode("f").alias("f"))
+    prints = with_fingerprints(items.where(F.size("w") >= span).select(hashed.alias("f")), "f", span, gram)
+    # The outer form: Spark would push a plain explode's filter on the size through every step, copying the arrays' expression.
+    prints = prints.select(F.lit(span).alias("n"), F.explode_outer("f").alias("f")).where("f is not null")
     prints = prints.union(items.where(F.size("w") < span).select(F.size("w").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("f"))).distinct()
     prints = broadcast_if_small(materialize(prints, "benchmark-prints"))
 
