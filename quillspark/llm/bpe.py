@@ -46,7 +46,7 @@ class WordEncoder:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {"": b""}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank << 20 | place in keys, for each pair; NONE without a merge."""
@@ -121,13 +121,10 @@ class WordEncoder:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.memo.keys()
-        new.discard("")
         if new:
             if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*split)
-                new.discard("")
-            self.memo[""] = b""
+                self.memo = {"": b""}
+                new = set().union(*split) - self.memo.keys()
             self.learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
