@@ -107,7 +107,7 @@ class SuffixTree:
     def __init__(self, root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """root: counts of the 256 symbols; levels: for depth 1 and on, (context, symbol, count) of the candidates."""
         total = max(1, int(root.sum()))
-        p = (root + 0.5) / (root.sum() + 128.0)
+        p = (root + 1 / 256) / (root.sum() + 1.0)
         self.codes = np.zeros(1, np.int64)  # depth << 32 | context, sorted
         self.parent, self.backoff = np.zeros(1, np.int64), np.zeros(1)
         self.entries, self.values = np.arange(256, dtype=np.int64), np.log10(p)
