@@ -59,7 +59,7 @@ def paths(x: np.ndarray, collapse: float | None = None) -> tuple[list[list[int]]
     height = {n + k: h for k, (_, _, h) in enumerate(merges)}
     if collapse is not None:
         for node in sorted(children, reverse=True):
-            changed = True
+            changed = node in children
             while changed:
                 changed = False
                 for c in list(children[node]):

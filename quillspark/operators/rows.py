@@ -35,7 +35,8 @@ def model_struct(df: DataFrame, into: str, *, prompt: str, kinds: dict[str, Kind
     call = Call(model, kinds, retries, list(validate), gleaning)
     if calls is not None:
         return calls.answered(df, text, call, {"prompt": prompt, **(config or {})}, into)
-    return df.withColumn(into, call.column(text))
+    # Behind a generator a filter on the answer can't be pushed into a second copy of the call; other filters still pass it.
+    return df.withColumn(into, F.explode_outer(F.array(call.column(text))))
 
 
 def _rule(rule: str, kinds: dict[str, Kind]) -> Column:

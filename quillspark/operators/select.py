@@ -163,12 +163,10 @@ def rank(df: DataFrame, *, order: list[str], score: Column, descending: bool = T
 
 def _numbered(df: DataFrame, by: list[Column]) -> DataFrame:
     """``_rank`` over all rows without one task for all: range partitions are numbered alone and shifted by what is before them."""
-    names = [f"__b{i}" for i in range(len(by))]
     part = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
     part = part.withColumns({"__p": F.shiftright("__id", 33), "__k": F.col("__id").bitwiseAND((1 << 33) - 1)})
     sizes = part.groupBy("__p").agg((F.max("__k") + 1).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    del names
     return part.join(F.broadcast(before.drop("__n")), "__p").withColumn("_rank", F.col("__before") + F.col("__k") + 1).drop("__p", "__k", "__id", "__before")
 
 
@@ -180,7 +178,7 @@ def pairwise_wins(df: DataFrame, *, order: list[str], batches: int, size: int, w
     draw, count = random.Random(seed), [0] * len(rows)
     for _ in range(batches):
         own = draw.sample(range(len(rows)), min(size, len(rows)))
-        for place, i in enumerate(wins([rows[j] for j in own])):
+        for place, i in enumerate(wins([rows[j] for j in own])):  # places of the batch, best first
             count[own[i]] += len(own) - 1 - place
     schema = df.select(*order).schema.add("wins", "long")
     won = df.sparkSession.createDataFrame([(*[r[c] for c in order], n) for r, n in zip(rows, count, strict=True)], schema)
