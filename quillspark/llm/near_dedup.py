@@ -24,7 +24,7 @@ from . import textkernels as K
 from .common import broadcast_if_small, materialize
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 40, 8
 #: Least weighted Jaccard similarity, in hundredths.
 SIMILAR = 80
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -120,14 +120,14 @@ def _bag_rows(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b), nodes of one connected component having one root.
 
-    Contraction: every node moves to the neighbour of least random rank (or stays), edges between the images remain.
-    A constant share of the nodes goes in each round, on chains and on stars alike.
+    Contraction: every node moves to the neighbour of least rank (or stays), edges between the images remain. Ranks are
+    the ids in odd rounds, which folds stars in two, and random in even ones, which takes a constant share off chains.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     moved, step = None, 0
     while not edges.isEmpty():
         step += 1
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("r"), F.col(c).alias("to"))  # noqa: B023, E731
+        rank = lambda c: F.struct((F.col(c) if step % 2 else F.xxhash64(F.col(c), F.lit(step))).alias("r"), F.col(c).alias("to"))  # noqa: B023, E731
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.least(rank("a"), rank("b")).alias("best")), F.struct(F.col("b").alias("node"), F.least(rank("a"), rank("b")).alias("best")))).alias("e")).select("e.*")
         to = materialize(ends.groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.to").alias("to")), "moves")
         a = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
@@ -141,6 +141,18 @@ def components(edges: DataFrame) -> DataFrame:
     return moved if moved is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _joined_classes(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after more links: only the classes that these connect are worked on."""
+    if roots is None:
+        return materialize(components(links), "classes-so-far")
+    for c in ("a", "b"):
+        links = links.join(roots.withColumnsRenamed({"node": c, "root": f"r{c}"}), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    moved = materialize(components(links), "classes-moved")
+    on = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(old.unionByName(moved.join(roots, "node", "left_anti")), "classes-so-far")
+
+
 def _linked(pairs: DataFrame, units: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose bags overlap enough."""
     left = units.select(F.col("doc").alias("a"), F.col("units").alias("ua"))
@@ -173,21 +185,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = broadcast_if_small(materialize(members.select(F.col("doc").alias("uid")).distinct(), "wanted"))
     units = materialize(_bag_rows(filled.join(wanted, "uid", "left_semi").select("uid", "text")), "bags")
     members = members.withColumn("label", F.col("doc"))
-    links, roots, step, pivots = None, None, 0, 1
+    roots, step, pivots = None, 0, 1
     while not members.isEmpty():
         step += 1
-        rank = F.xxhash64(F.col("doc"), F.lit(step))
-        chosen = members.groupBy("bucket", F.pmod(rank, F.lit(pivots)).alias("slice")).agg(F.min(F.struct(rank.alias("rank"), "doc", "n", "label")).alias("p"))
+        rank = F.col("doc") if step == 1 else F.xxhash64(F.col("doc"), F.lit(step))
+        chosen = members.groupBy("bucket", F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(pivots)).alias("slice")).agg(F.min(F.struct(rank.alias("rank"), "doc", "n", "label")).alias("p"))
         chosen = chosen.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
         chosen = materialize(chosen, "pivots")
         near = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= similar * F.greatest("n", "pn"))
         pairs = members.join(chosen, "bucket").where(near).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         found = materialize(_linked(pairs, units, similar), "links")
-        links = found if links is None else links.unionByName(found)
-        left = members.drop("label").join(chosen.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
-        roots = components(links)
-        left = left.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("label"))
-        left = materialize(left, "left")
+        left = members.join(chosen.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
+        if not found.isEmpty():
+            roots = _joined_classes(roots, found)
+            left = left.drop("label").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("label"))
+        left = materialize(left.select("bucket", "doc", "n", "label"), "left")
         mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
         members = materialize(left.join(mixed, "bucket"), "members")
         pivots *= 4

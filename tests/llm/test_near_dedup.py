@@ -57,7 +57,7 @@ def test_groups_equal_brute_force(make):
     texts += [texts[0]] * 5 + ["short one"] * 3 + ["", "", " "]
     r.shuffle(texts)
     pairs = list(enumerate(texts)) + [(len(texts), None), (len(texts) + 1, None)]
-    found = N.near_duplicates(make(pairs)).collect()
+    found = N.near_duplicates(make(pairs), bands=20, rows=5).collect()  # takes more than one round
     assert {x.doc_id: x.class_id for x in found} == brute(pairs)
     assert sorted(x.doc_id for x in found if x.kept) == sorted(set(brute(pairs).values()))
 
@@ -70,7 +70,7 @@ def test_large_bucket_of_unlike_documents(make):
     for i in range(60):
         own = [f"o{r.randint(0, 10**6)}" for _ in range(40)]
         pairs += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[:-1] + ["z"]))]
-    found = N.near_duplicates(make(pairs)).collect()
+    found = N.near_duplicates(make(pairs), bands=8, rows=2).collect()  # coarse bands: many rounds
     assert {x.doc_id: x.class_id for x in found} == brute(pairs)
 
 
