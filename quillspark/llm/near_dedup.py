@@ -9,8 +9,10 @@ band are compared by their bags of shingles.
 
 Equal texts are collapsed beforehand. Buckets are not expanded into pairs: in each round a few pivots of every bucket
 are compared with the bucket's other members of another class and then leave it, classes are joined, and buckets that
-lie within one class are finished. Rounds take more pivots as they go, until no bucket is left; so every pair of a
-bucket is either compared or already in one class.
+lie within one class are finished. Rounds take more pivots as they go, until no bucket is left. A pair belongs to the
+first band that it shares, and is passed over there only if its signatures disagree in so many components that a
+similarity of the bound lies four standard deviations away; so every pair that shares a band is compared, already in
+one class, or ruled out by its signatures.
 """
 
 from __future__ import annotations
@@ -84,22 +86,40 @@ def signatures(keys: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int,
     return found.reshape(rows, size)
 
 
+def _sketches(found: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen components to a number."""
+    bits = np.zeros((len(found), -(-found.shape[1] // 16) * 16), np.uint64)
+    bits[:, : found.shape[1]] = K.mix(found) & np.uint64(15)
+    return (bits.reshape(len(found), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
+def _disagreeing(a: str, b: str) -> Column:
+    """Components in which two sketches differ."""
+
+    def each(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, each), F.lit(0), lambda n, x: n + x)
+
+
 def _band_rows(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """uid, h1, h2, n (shingles), bands (null for a text without words)."""
+    """uid, h1, h2, n (shingles), bands, sketch."""
 
     def run(batches):
         for batch in K.slices(batches, "text"):
             keys, row = shingles(*K.buffer_of(batch.column("text")))
             n = np.bincount(row, minlength=batch.num_rows)
-            found = signatures(*bags(keys, row), batch.num_rows, bands * per_band).view(np.uint64).reshape(batch.num_rows, bands, per_band)
+            whole = signatures(*bags(keys, row), batch.num_rows, bands * per_band).view(np.uint64)
+            found, sketch = whole.reshape(batch.num_rows, bands, per_band), _sketches(whole).view(np.int64)
             key = np.zeros((batch.num_rows, bands), np.uint64) + np.arange(bands, dtype=np.uint64) * _STEP
             for k in range(per_band):
                 key = K.mix(key + found[:, :, k])
-            values = pa.array(key.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), values)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "h1", "h2")], pa.array(n.astype(np.int64)), lists], names=["uid", "h1", "h2", "n", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (key.view(np.int64), sketch)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "h1", "h2")], pa.array(n.astype(np.int64)), *lists], names=["uid", "h1", "h2", "n", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "uid long, h1 long, h2 long, n long, bands array<long>")
+    return docs.mapInArrow(run, "uid long, h1 long, h2 long, n long, bands array<long>, sketch array<long>")
 
 
 def _bag_rows(docs: DataFrame) -> DataFrame:
@@ -178,28 +198,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filled = named.where("text is not null")
     sigs = materialize(_band_rows(filled.select("uid", "h1", "h2", "text"), bands, rows), "bands")
     # Texts: n and bands are the same for all copies.
-    texts = materialize(sigs.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    members = texts.where("n > 0").select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("bucket"))
+    texts = materialize(sigs.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
+    members = texts.where("n > 0").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = materialize(members.join(shared, "bucket"), "members")
+    own = texts.select(F.col("rep").alias("doc"), "n", F.transform("bands", lambda b: (b % 2147483647).cast("int")).alias("bands"), "sketch")
+    members = materialize(members.join(shared, "bucket").join(own, "doc"), "members")
     wanted = broadcast_if_small(materialize(members.select(F.col("doc").alias("uid")).distinct(), "wanted"))
     units = materialize(_bag_rows(filled.join(wanted, "uid", "left_semi").select("uid", "text")), "bags")
     members = members.withColumn("label", F.col("doc"))
+    p, size = similar / 100 + (1 - similar / 100) / 16, bands * rows  # a component's four bits agree with probability p
+    most = int(size * (1 - p) + 4 * (size * p * (1 - p)) ** 0.5) + 1
+    kept = ["bucket", "band", "doc", "n", "bands", "sketch"]
     roots, step, pivots = None, 0, 1
     while not members.isEmpty():
         step += 1
         rank = F.col("doc") if step == 1 else F.xxhash64(F.col("doc"), F.lit(step))
-        chosen = members.groupBy("bucket", F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(pivots)).alias("slice")).agg(F.min(F.struct(rank.alias("rank"), "doc", "n", "label")).alias("p"))
-        chosen = chosen.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
+        chosen = members.groupBy("bucket", F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(pivots)).alias("slice")).agg(F.min(F.struct(rank.alias("rank"), "doc", "n", "label", "bands", "sketch")).alias("p"))
+        chosen = chosen.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"), F.col("p.bands").alias("pbands"), F.col("p.sketch").alias("psketch"))
         chosen = materialize(chosen, "pivots")
         near = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= similar * F.greatest("n", "pn"))
+        near = near & (F.array_position(F.zip_with("bands", "pbands", lambda x, y: x == y), True) == F.col("band") + 1) & (_disagreeing("sketch", "psketch") <= most)
         pairs = members.join(chosen, "bucket").where(near).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         found = materialize(_linked(pairs, units, similar), "links")
         left = members.join(chosen.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
         if not found.isEmpty():
             roots = _joined_classes(roots, found)
-            left = left.drop("label").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("label"))
-        left = materialize(left.select("bucket", "doc", "n", "label"), "left")
+            left = left.drop("label").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(*kept, F.coalesce("root", "doc").alias("label"))
+        left = materialize(left.select(*kept, "label"), "left")
         mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
         members = materialize(left.join(mixed, "bucket"), "members")
         pivots *= 4
