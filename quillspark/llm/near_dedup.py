@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, discard, materialize
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
@@ -152,12 +152,17 @@ def components(edges: DataFrame) -> DataFrame:
         to = materialize(ends.groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.to").alias("to")), "moves")
         a = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = materialize(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        fewer = materialize(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = fewer
         if moved is None:
-            moved = to.select("node", F.col("to").alias("root"))
+            moved = materialize(to.select("node", F.col("to").alias("root")), "roots")
         else:
             on = to.select(F.col("node").alias("root"), "to")
-            moved = materialize(moved.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            further = materialize(moved.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            discard(moved)
+            moved = further
+        discard(to)
     return moved if moved is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -202,10 +207,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = texts.where("n > 0").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     own = texts.select(F.col("rep").alias("doc"), "n", F.transform("bands", lambda b: (b % 2147483647).cast("int")).alias("bands"), "sketch")
-    members = materialize(members.join(shared, "bucket").join(own, "doc"), "members")
+    members = materialize(members.join(shared, "bucket").join(own, "doc").withColumn("label", F.col("doc")), "members")
     wanted = broadcast_if_small(materialize(members.select(F.col("doc").alias("uid")).distinct(), "wanted"))
     units = materialize(_bag_rows(filled.join(wanted, "uid", "left_semi").select("uid", "text")), "bags")
-    members = members.withColumn("label", F.col("doc"))
     p, size = similar / 100 + (1 - similar / 100) / 16, bands * rows  # a component's four bits agree with probability p
     most = int(size * (1 - p) + 4 * (size * p * (1 - p)) ** 0.5) + 1
     kept = ["bucket", "band", "doc", "n", "bands", "sketch"]
@@ -226,8 +230,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             left = left.drop("label").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(*kept, F.coalesce("root", "doc").alias("label"))
         left = materialize(left.select(*kept, "label"), "left")
         mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-        members = materialize(left.join(mixed, "bucket"), "members")
-        pivots *= 4
+        following = materialize(left.join(mixed, "bucket"), "members")
+        discard(members, chosen, left, found)
+        members = following
+        pivots *= 8
     by_text = texts.select("h1", "h2", "rep")
     if roots is not None:
         least = roots.join(roots.groupBy("root").agg(F.min("node").alias("class")), "root").select(F.col("node").alias("rep"), "class")
