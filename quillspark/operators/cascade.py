@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GUARANTEES = ("accuracy", "precision", "recall", "precision+recall")
@@ -46,17 +46,23 @@ def learn(scores: list[float], labels: dict[int, bool], conf: Cascade) -> float:
     scores: all rows' proxy scores; labels: the oracle's on a uniform sample of them, by row.
     """
     ranked = sorted(set(scores))
-    cuts = sorted({ranked[int(i * (len(ranked) - 1) / conf.steps)] for i in range(conf.steps + 1)}) if ranked else []
+    cuts = {ranked[int(i * (len(ranked) - 1) / conf.steps)] for i in range(conf.steps + 1)} if ranked else set()
+    return threshold([(scores[i], y) for i, y in labels.items()], {t: sum(s >= t for s in scores) for t in cuts}, len(scores), conf)
+
+
+def threshold(drawn: list[tuple[float, bool]], above: dict[float, int], population: int, conf: Cascade) -> float:
+    """As ``learn``, from the sample's scores and labels and, for each candidate cut, how many of all ``population``
+    rows score at or above it."""
+    cuts = sorted(above)
     delta = conf.delta / max(1, len(cuts)) / (2 if conf.guarantee == "precision+recall" else 1)
-    n = len(scores)
 
     def precision(t: float) -> float:
-        inside = [i for i in labels if scores[i] >= t]
-        return lower_bound(sum(labels[i] for i in inside), len(inside), max(1, sum(s >= t for s in scores)), delta)
+        inside = [y for s, y in drawn if s >= t]
+        return lower_bound(sum(inside), len(inside), max(1, above[t]), delta)
 
     def recall(t: float) -> float:
-        good = [i for i in labels if labels[i]]
-        return lower_bound(sum(scores[i] >= t for i in good), len(good), max(1, n), delta)
+        good = [s for s, y in drawn if y]
+        return lower_bound(sum(s >= t for s in good), len(good), max(1, population), delta)
 
     if conf.guarantee == "precision":
         return min((t for t in cuts if precision(t) >= conf.target), default=math.inf)
@@ -66,6 +72,16 @@ def learn(scores: list[float], labels: dict[int, bool], conf: Cascade) -> float:
     return max(both, default=math.nan)
 
 
+def counts_above(scored: DataFrame, score: Column, steps: int) -> dict[float, int]:
+    """Candidate cuts (quantiles of all rows' ``score``) and how many rows lie at or above each, by two aggregates."""
+    cuts = scored.agg(F.percentile_approx(score, [i / steps for i in range(steps + 1)], 10_000)).first()[0]
+    if not cuts:
+        return {}
+    cuts = sorted(set(cuts))
+    row = scored.agg(*[F.count(F.when(score >= F.lit(t), 1)).alias(f"c{k}") for k, t in enumerate(cuts)]).first()
+    return dict(zip(cuts, row, strict=True))
+
+
 def run(df: DataFrame, *, score, oracle: Callable[[DataFrame], DataFrame], conf: Cascade, order: list[str], keep: str = "keep") -> DataFrame:
     """``df`` with ``keep`` and ``__source`` (proxy or oracle).
 
@@ -82,17 +98,18 @@ def run(df: DataFrame, *, score, oracle: Callable[[DataFrame], DataFrame], conf:
         # Confident rows of either sign are the proxy's; certainty is the distance from one half.
         sure = [abs(s - 0.5) for s, _ in drawn]
         right = {i: (s >= 0.5) == y for i, (s, y) in enumerate(drawn)}
-        cuts = sorted(set(sure))[:: max(1, len(set(sure)) // conf.steps)] or [math.inf]
+        above = counts_above(scored, F.abs(F.col("__score") - 0.5), conf.steps)
+        cuts = sorted(above)
         safe = math.inf
         for t in cuts:
             inside = [i for i, c in enumerate(sure) if c >= t]
-            if lower_bound(sum(right[i] for i in inside), len(inside), population, conf.delta / len(cuts)) >= conf.target:
+            if lower_bound(sum(right[i] for i in inside), len(inside), max(1, above[t]), conf.delta / len(cuts)) >= conf.target:
                 safe = t
                 break
         unsure = F.abs(F.col("__score") - 0.5) < safe if safe < math.inf else F.lit(True)
         accept = F.col("__score") >= 0.5
     else:
-        t = learn([s for s, _ in drawn], dict(enumerate(y for _, y in drawn)), conf)
+        t = threshold(drawn, counts_above(scored, F.col("__score"), conf.steps), population, conf)
         if conf.guarantee in ("precision", "recall"):
             accept = F.lit(False) if t == math.inf else F.lit(True) if t == -math.inf else F.col("__score") >= t
             unsure = F.lit(t == math.inf)

@@ -145,6 +145,26 @@ def test_ward():
     assert len(cluster.paths(x, collapse=0.1)[1]) < 4 and cluster.paths(x[:1]) == ([[]], {})
 
 
+def test_cascade_covers_beyond_the_sample(spark):
+    """On a table much larger than the budget, unsafe thresholds are taken with probability delta at most."""
+    n, target, rate = 20_000, 0.8, 0.76
+    df = spark.range(n).select("id", (F.col("id") % 2 * 0.5 + 0.25).alias("p"), (F.pmod(F.xxhash64("id"), F.lit(100)) < 100 * rate).alias("y")).cache()
+    assert df.where("y").count() < 0.78 * n  # no cut is safe
+    unsafe = 0
+    for seed in range(25):
+        conf = cascade.Cascade("precision", target, 0.1, label_budget=30, seed=seed)
+        out = cascade.run(df, score=F.col("p"), oracle=lambda d: d.withColumn("label", F.col("y")), conf=conf, order=["id"])
+        unsafe += out.where("__source = 'proxy'").limit(1).count()
+    assert unsafe <= 5
+
+
+def test_cascade_counts_all_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 10 / 10).alias("s"))
+    above = cascade.counts_above(df, F.col("s"), 20)
+    assert set(above) == {k / 10 for k in range(10)} and all(n == 1000 - round(1000 * t) for t, n in above.items())
+    assert cascade.counts_above(df.limit(0), F.col("s"), 20) == {}
+
+
 def test_cascade_covers(spark):
     import random
 
