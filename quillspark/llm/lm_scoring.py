@@ -1,13 +1,15 @@
-"""Language-model scores: a unigram base, and a probabilistic suffix tree over the bytes of words.
+"""Language-model scores: a unigram base, and a probabilistic suffix tree over the bytes of texts.
 
 The tree's symbols are the bytes of a text's words, each word ended by a blank and the text by a line feed; contexts
-lie within a word and its leading blanks. From all training documents every window of a symbol and four before it is
-counted; shorter contexts follow by summing. A context is a candidate if at least ``LEAST_SHARE`` of all symbols follow
-it, which bounds their number by ``1 / LEAST_SHARE`` for each length; it is retained if the likelihood ratio of its
-next-symbol distribution against that of its longest retained suffix outweighs the parameters it adds. Distributions
-are smoothed by that suffix's (Witten-Bell); a symbol is scored by the longest retained suffix of what precedes it.
-Only the retained tree goes to the executors. A token's probability mixes the tree's with the token's share of the
-training tokens; the tree's weight is the probability of an unseen token (Good-Turing), so all tokens sum to one.
+are the ``DEPTH`` symbols before, whatever word they belong to (blanks before a text's first). From all training
+documents every window of a symbol and its context is counted; shorter contexts follow by summing. A context is a
+candidate if at least ``LEAST_COUNT`` symbols follow it, so the tree grows with the corpus; it is retained if the
+likelihood ratio of its next-symbol distribution against that of its longest retained suffix outweighs the parameters
+it adds. Distributions are smoothed by that suffix's (Witten-Bell); a symbol is scored by the longest retained suffix
+of what precedes it. The tree is made level by level by joins. Up to ``TREE_ROWS``
+retained counts go to the executors; beyond, windows get their values by shuffled joins. A token's probability mixes the
+tree's with the token's share of the training tokens; the tree's weight is the probability of an unseen token
+(Good-Turing).
 
 Counts of all tokens are needed for that and for the base. Tokens that make up at least ``1 / FREQUENT`` of the
 training tokens (so at most ``FREQUENT`` of them) are looked up on the executors; the others are joined by a shuffle.
@@ -17,24 +19,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import materialize
+from .common import broadcast_if_small, discard, materialize
 
-DEPTH = 4
-LEAST_SHARE = 5e-5
+#: A window of a symbol and its context is one 64-bit number.
+DEPTH = 7
+LEAST_COUNT = 64
+#: Retained counts (context and symbol) of a tree that is held in memory.
+TREE_ROWS = 1_500_000
 FREQUENT = 1 << 20
 END, BLANK = 10, 32
 #: The end of a text as a token, beside the words' hashes.
 END_KEY = np.uint64(1)
 #: Counts that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 6_000_000
 MEMO = 1 << 20
 
 
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 2)], np.int64)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 2)], np.uint64).view(np.int64)
 _FILL = np.array([sum(BLANK << 8 * i for i in range(k, DEPTH + 1)) for k in range(DEPTH + 2)], np.int64)
 
 
@@ -58,7 +64,8 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     windows = np.zeros(total, np.int64)
     for k in range(DEPTH + 1):
         windows[k:] |= out[: total - k].astype(np.int64) << (8 * k)
-    inside = np.minimum(np.arange(total) - np.repeat(begins, sizes) + 1, DEPTH + 1)  # symbols of the token so far
+    ends_at = begins[end_at] + 1
+    inside = np.minimum(np.arange(total) - np.repeat(np.append(0, ends_at[:-1]), np.diff(ends_at, prepend=0)) + 1, DEPTH + 1)  # symbols of the text so far
     windows = (windows & _KEEP[inside]) | _FILL[inside]
     keys = np.full(words + rows, END_KEY, np.uint64)
     keys[word_at] = K.word_hashes(data, starts, ends)
@@ -108,7 +115,7 @@ class SuffixTree:
         """root: counts of the 256 symbols; levels: for depth 1 and on, (context, symbol, count) of the candidates."""
         total = max(1, int(root.sum()))
         p = (root + 1 / 256) / (root.sum() + 1.0)
-        self.codes = np.zeros(1, np.int64)  # depth << 32 | context, sorted
+        self.codes = np.zeros(1, np.int64)  # depth << 8 * DEPTH | context, sorted
         self.parent, self.backoff = np.zeros(1, np.int64), np.zeros(1)
         self.entries, self.values = np.arange(256, dtype=np.int64), np.log10(p)
         for depth, (context, symbol, count) in enumerate(levels, 1):
@@ -129,7 +136,7 @@ class SuffixTree:
             smooth = (count + kinds[at] * mean) / (n + kinds)[at]
             self.parent = np.append(self.parent, self.longest(own[kept], depth - 1))
             self.backoff = np.append(self.backoff, np.log10(kinds[kept] / (n + kinds)[kept]))
-            self.codes = np.append(self.codes, depth << 32 | own[kept])
+            self.codes = np.append(self.codes, depth << 8 * DEPTH | own[kept])
             entries, values = np.append(self.entries, number[at[use]] << 8 | symbol[use]), np.append(self.values, np.log10(smooth[use]))
             order = np.argsort(entries)
             self.entries, self.values = entries[order], values[order]
@@ -140,7 +147,7 @@ class SuffixTree:
         out = np.zeros(len(context), np.int64)
         open_ = np.arange(len(context))
         for d in range(depth, 0, -1):
-            code = d << 32 | (context[open_] & ((1 << 8 * d) - 1))
+            code = d << 8 * DEPTH | (context[open_] & ((1 << 8 * d) - 1))
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[at] == code
             out[open_[hit]] = at[hit]
@@ -160,36 +167,118 @@ class SuffixTree:
         return out
 
     def window_scores(self, keys: np.ndarray) -> np.ndarray:
-        return self.look_up(self.longest(keys >> 8, DEPTH), keys & 255)
-
-
-def fit(counted: DataFrame) -> SuffixTree:
-    """The tree of the windows' counts (key, n)."""
-    grams = counted.where("kind = 1")
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.expr(f"(key >> 8) & {(1 << 8 * d) - 1}").alias("context")) for d in range(DEPTH + 1)]))
-    each = grams.select((F.col("key").bitwiseAND(255)).alias("symbol"), "n", levels.alias("c")).groupBy("c.d", "c.context", "symbol").agg(F.sum("n").alias("n"))
-    each = materialize(each, "contexts")
-    total = each.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    candidates = each.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_SHARE * total).drop("all")
-    found = each.join(F.broadcast(candidates), ["d", "context"]).toArrow()  # at most 1 / LEAST_SHARE contexts of each depth
-    d, context, symbol, n = (found[c].to_numpy() for c in ("d", "context", "symbol", "n"))
-    order = np.lexsort((symbol, context, d))
-    d, context, symbol, n = d[order], context[order], symbol[order], n[order]
-    root = np.bincount(symbol[d == 0], n[d == 0], 256)
-    return SuffixTree(root, [(context[d == k], symbol[d == k], n[d == k]) for k in range(1, DEPTH + 1)])
-
-
-def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, total: int, weight: float, id_type: str) -> DataFrame:
+        return self.look_up(self.longest(keys >> 8 & _KEEP[DEPTH], DEPTH), keys & 255)
+
+
+def _suffix(c: Column | str, depth: int) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+
+
+def count_all(docs: DataFrame) -> DataFrame:
+    """kind, key, n, all (symbols after a window's context), written down: one shuffle for both sums."""
+    context = _suffix(F.shiftright("key", 8), DEPTH)
+    each = _counted(docs).repartition("kind", context).select("kind", "key", "n", context.alias("context")).groupBy("kind", "context", "key").agg(F.sum("n").alias("n"))
+    return materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "context"))).drop("context"), "counts")
+
+
+def candidates(counted: DataFrame) -> list[DataFrame]:
+    """By depth, from 0: context, symbol, n of the contexts that LEAST_COUNT symbols follow (all at depth 0)."""
+    whole = counted.where("kind = 1").select(_suffix(F.shiftright("key", 8), DEPTH).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n", "all")
+    out, last = [], None
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:
+            each = whole.select(_suffix("context", d).alias("context"), "symbol", "n").repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+            whole = materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("context"))), f"contexts-{d}")
+            discard(*([last] if last is not None else []))
+            last = whole
+        out.append(materialize(whole.where(F.col("all") >= (LEAST_COUNT if d else 0)).drop("all"), f"candidates-{d}"))
+    discard(last)
+    return out[::-1]
+
+
+def fit(levels: list[DataFrame]) -> tuple[np.ndarray, list[DataFrame]]:
+    """The root's counts and, by depth from 1, the retained contexts: context, symbol, n, backoff, mean (p, smoothed).
+
+    A candidate's suffixes are candidates, with all its symbols, so each level needs the one below only.
+    """
+    spark = levels[0].sparkSession
+    root = levels[0].toArrow()
+    counts = np.bincount(root["symbol"].to_numpy(), root["n"].to_numpy(), 256)
+    known = spark.createDataFrame([(0, s, float(p)) for s, p in enumerate((counts + 1 / 256) / (counts.sum() + 1.0))], "suffix long, symbol long, mean double")
+    total, out = max(1, int(counts.sum())), []
+    w = Window.partitionBy("context")
+    for d, level in enumerate(levels[1:], 1):
+        joined = level.withColumn("suffix", _suffix("context", d - 1)).join(known if d > 1 else F.broadcast(known), ["suffix", "symbol"])
+        each = joined.withColumns({"all": F.sum("n").over(w), "kinds": F.count("*").over(w)})
+        each = each.withColumn("gain", F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("mean"))).over(w))
+        each = each.withColumn("kept", F.col("gain") > 0.5 * F.col("kinds") * float(np.log(total)))
+        smooth = (F.col("n") + F.col("kinds") * F.col("mean")) / (F.col("all") + F.col("kinds"))
+        each = materialize(each.select("context", "symbol", "n", "kept", F.log10(F.col("kinds") / (F.col("all") + F.col("kinds"))).alias("backoff"), F.when(F.col("kept"), smooth).otherwise(F.col("mean")).alias("mean")), f"tree-{d}")
+        known = each.select(F.col("context").alias("suffix"), "symbol", "mean")
+        out.append(each.where("kept").drop("kept"))
+    return counts, out
+
+
+def in_memory(counts: np.ndarray, kept: list[DataFrame]) -> SuffixTree:
+    found = []
+    for level in kept:
+        t = level.select("context", "symbol", "n").toArrow()
+        context, symbol, n = (t[c].to_numpy() for c in ("context", "symbol", "n"))
+        order = np.lexsort((symbol, context))
+        found.append((context[order], symbol[order], n[order]))
+    return SuffixTree(counts, found)
+
+
+def window_values(keys: DataFrame, counts: np.ndarray, kept: list[DataFrame]) -> DataFrame:
+    """key, value: the log probability of each distinct window, from the shortest context up."""
+    root = np.log10((counts + 1 / 256) / (counts.sum() + 1.0))
+    symbol = F.col("key").bitwiseAND(255)
+    out = keys.withColumn("value", F.element_at(F.array(*[F.lit(float(v)) for v in root]), (symbol + 1).cast("int")))
+    for d, level in enumerate(kept, 1):
+        level = level.groupBy("context").agg(F.max("backoff").alias("backoff"), F.map_from_entries(F.collect_list(F.struct("symbol", F.log10("mean")))).alias("values"))
+        level = materialize(level, f"nodes-{d}")
+        out = out.withColumn("context", _suffix(F.shiftright("key", 8), d)).join(broadcast_if_small(level, 10_000), "context", "left")
+        value = F.when(F.col("backoff").isNull(), F.col("value")).otherwise(F.coalesce(F.try_element_at("values", symbol), F.col("backoff") + F.col("value")))
+        out = out.select("key", value.alias("value"))
+    return out
+
+
+def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray, total: int, weight: float) -> pa.RecordBatch:
     """Per row: what the tree and the frequent tokens give, and the other tokens' hashes for the join."""
+    logs, shares = np.log10(counts + 0.5), (1 - weight) * counts / max(1, total)
+    windows, begins, words, row = symbols(*K.buffer_of(batch.column("text")))
+    by_token, rows = np.add.reduceat(value_of(windows), begins), batch.num_rows
+    at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+    hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
+    base = np.bincount(row[hit], logs[at[hit]], rows)
+    score = np.bincount(row[hit], np.log10(shares[at[hit]] + weight * 10.0 ** by_token[hit]), rows) if hit.any() else np.zeros(rows)
+    known = np.bincount(row[hit], minlength=rows)
+    rest, owner, alone = words[~hit], row[~hit], by_token[~hit].astype(np.float32)
+    order = np.lexsort((alone, rest, owner))
+    rest, owner, alone = rest[order], owner[order], alone[order]
+    # A token's tree value depends on what precedes it.
+    new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]) | (alone[1:] != alone[:-1]))) if len(rest) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(rest))).astype(np.int32)
+    lists = pa.array(np.searchsorted(owner[new], np.arange(rows + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(c) for c in ("rid", "doc_id", "held_out")], pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.bincount(row, by_token, rows)),
+            *[pa.ListArray.from_arrays(lists, pa.array(x)) for x in (rest[new], times, alone[new])],
+        ],
+        names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tree_score", "rest", "times", "alone"],
+    )
+
+
+def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, total: int, weight: float, schema: str) -> DataFrame:
+    """The rows' scores by a tree that every executor holds."""
     shared = rows.sparkSession.sparkContext.broadcast((tree, keys, counts))
 
     def run(batches):
         tree, keys, counts = shared.value
-        logs, shares = np.log10(counts + 0.5), (1 - weight) * counts / max(1, total)
         memo, held = np.full(MEMO, -1, np.int64), np.zeros(MEMO)
-        for batch in K.slices(batches, "text", 2_000_000):
-            windows, begins, words, row = symbols(*K.buffer_of(batch.column("text")))
-            slot = ((windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+        def value_of(windows):
+            slot = ((windows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
             value = held[slot]
             miss = np.flatnonzero(memo[slot] != windows)
             if len(miss):
@@ -198,27 +287,44 @@ def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndar
                 memo[slot[miss]] = windows[miss]
                 own = miss[memo[slot[miss]] == windows[miss]]  # of several for one slot the last stays
                 held[slot[own]] = value[own]
-            by_token, rows = np.add.reduceat(value, begins), batch.num_rows
-            at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-            base = np.bincount(row[hit], logs[at[hit]], rows)
-            score = np.bincount(row[hit], np.log10(shares[at[hit]] + weight * 10.0 ** by_token[hit]), rows) if hit.any() else np.zeros(rows)
-            known = np.bincount(row[hit], minlength=rows)
-            rest, owner, alone = words[~hit], row[~hit], by_token[~hit].astype(np.float32)
-            order = np.lexsort((rest, owner))
-            rest, owner, alone = rest[order], owner[order], alone[order]
-            new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(rest))).astype(np.int32)
-            lists = pa.array(np.searchsorted(owner[new], np.arange(rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("rid", "doc_id", "held_out")], pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.bincount(row, by_token, rows)),
-                    *[pa.ListArray.from_arrays(lists, pa.array(x)) for x in (rest[new], times, alone[new])],
-                ],
-                names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tree_score", "rest", "times", "alone"],
-            )
-
-    return rows.mapInArrow(run, f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tree_score double, rest array<long>, times array<int>, alone array<float>")
+            return value
+
+        for batch in K.slices(batches, "text", 2_000_000):
+            yield _score(batch, value_of, keys, counts, total, weight)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]], keys: np.ndarray, counts: np.ndarray, total: int, weight: float, id_type: str, schema: str) -> DataFrame:
+    """The same by tables: rows in parts of about a megabyte; each part's distinct windows fetch their values."""
+    shared = rows.sparkSession.sparkContext.broadcast((keys, counts))
+
+    def parts(batches):
+        for batch in K.slices(batches, "text", 1_000_000):
+            part = pa.array(np.full(batch.num_rows, batch.column("rid")[0].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([part, *[batch.column(c) for c in ("rid", "doc_id", "text", "held_out")]], names=["part", "rid", "doc_id", "text", "held_out"])
+
+    def distinct(batches):
+        for batch in batches:
+            data, part = batch.column("text"), batch.column("part").to_numpy()
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                found = np.unique(symbols(*K.buffer_of(data.slice(a, b - a)))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part[a])), pa.array(found)], names=["part", "key"])
+
+    def score(texts: pa.Table, values: pa.Table) -> pa.Table:
+        keys, counts = shared.value
+        own, value = values["key"].to_numpy(), values["value"].to_numpy()
+        order = np.argsort(own)
+        own, value = own[order], value[order]
+        batch = texts.combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([_score(batch, lambda w: value[np.searchsorted(own, w)], keys, counts, total, weight)])
+
+    texts = materialize(rows.mapInArrow(parts, f"part long, rid long, doc_id {id_type}, text string, held_out boolean"), "parts")
+    asked = materialize(texts.select("part", "text").mapInArrow(distinct, "part long, key long").distinct(), "windows")  # batches may cut a part
+    values = materialize(window_values(asked.select("key").distinct(), *tree), "values")
+    found = asked.join(values.hint("merge"), "key").select("part", "key", "value")
+    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -231,15 +337,21 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    counted = _counted(rows.where(~F.col("held_out")).select("text")).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "counts")
+    counted = count_all(rows.where(~F.col("held_out")).select("text"))
     words = counted.where("kind = 0").select("key", "n")
     total, distinct, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
     weight = min(0.9, max(1e-3, once / total)) if total else 1.0
-    tree = fit(counted)
+    levels = candidates(counted)
     frequent = words.where(F.col("n") * FREQUENT >= total).toArrow()
     order = np.argsort(keys := frequent["key"].to_numpy())
-    scored = _scored(rows.withColumn("rid", F.monotonically_increasing_id()), tree, keys[order], frequent["n"].to_numpy()[order], total, weight, id_type)
+    schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tree_score double, rest array<long>, times array<int>, alone array<float>"
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    lookup = (keys[order], frequent["n"].to_numpy()[order], total, weight)
+    tree = fit(levels)
+    if sum(level.count() for level in tree[1]) <= TREE_ROWS:
+        scored = _scored(rows, in_memory(*tree), *lookup, schema)
+    else:
+        scored = _scored_by_joins(rows, tree, *lookup, id_type, schema)
     scored = materialize(scored, "scored")  # fixes rid
     rest = scored.select("rid", F.explode(F.arrays_zip("rest", "times", "alone")).alias("w")).select("rid", F.col("w.rest").alias("key"), F.col("w.times").alias("times"), F.col("w.alone").alias("alone"))
     seldom = words.where(F.col("n") * FREQUENT < total)
