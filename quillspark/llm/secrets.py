@@ -2,8 +2,9 @@
 
 Three kinds are secrets by themselves: ``assign``, ``access`` and ``hex``. Weaker candidates are the parts of a
 credential that spans several places: an identifier, a secret-looking value, an endpoint. Such a part counts only where
-a complementary part (another of the three) lies within the same scope, a distance in code points; that band join runs
-as range frames over each document's parts, never as pairs. Positions come from splitting a text at its matches:
+a complementary part (another of the three) lies within the same scope, a distance in code points, and doesn't overlap
+it. Base secrets complement weak parts too (``ROLE``). That band join runs as range frames over each document's parts,
+never as pairs. Positions come from splitting a text at its matches:
 lengths of pieces and matches alternate. Everything is built-in functions.
 """
 
@@ -24,10 +25,12 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24, None, r"[0-9a-f]{24}"),
 }
 PARTS = {
-    "ident": (r"""([Uu]ser_?[Nn]ame|[Uu]ser|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccess_?[Kk]ey_?[Ii][Dd]|[Aa]ccess_?[Kk]ey)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", 0, 1, None, r"""[A-Za-z]["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3}"""),
+    "ident": (r"""([Uu][Ss][Ee][Rr]_?[Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy]_?[Ii][Dd]|[Aa][Cc][Cc][Ee][Ss][Ss]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", 0, 1, None, r"""[A-Za-z]["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3}"""),
     "value": (r"[A-Za-z0-9+/_-]{32,}={0,2}", 0, 32, r"[0-9]", r"[A-Za-z0-9+/_-]{32}"),
     "endpoint": (r"""(https|http|ftp|s3|postgres|mysql|mongodb)://[^\x00-\x20"'<>]{4,}""", 0, 1, None, r"://"),
 }
+#: What a span is to the weak parts around it: an access key is an identifier, other base secrets are values.
+ROLE = {"access": "ident", "assign": "value", "hex": "value", **{k: k for k in PARTS}}
 SCOPE = 400
 
 
@@ -75,19 +78,23 @@ def find_spans(docs: DataFrame, *, id_col: str, text_col: str, scope: int = SCOP
     """doc_id, rid, base and linked (arrays of start, end, kind), one row for each distinct id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"), text.alias("text"))
-    rows = rows.select("doc_id", "rid", F.concat(*[spans(F.col("text"), k, *v) for k, v in BASE.items()]).alias("base"), *[spans(F.col("text"), k, *v).alias(k) for k, v in PARTS.items()])
-    # Only parts of two kinds or more can complement each other; the others end here.
-    kinds = sum(((F.size(k) > 0).cast("int") for k in PARTS), F.lit(0))
-    rows = rows.select("doc_id", "rid", "base", F.when(kinds > 1, F.concat(*PARTS)).alias("parts"))
+    rows = rows.select("doc_id", "rid", *[spans(F.col("text"), k, *v).alias(k) for k, v in (BASE | PARTS).items()])
+    # Only spans of two roles or more can complement each other, and only weak parts gain by it; the others end here.
+    any_of = lambda kinds: sum((F.size(k) for k in kinds), F.lit(0)) > 0
+    roles = sum((any_of([k for k in ROLE if ROLE[k] == role]).cast("int") for role in PARTS), F.lit(0))
+    rows = rows.select("doc_id", "rid", F.concat(*BASE).alias("base"), F.when((roles > 1) & any_of(PARTS), F.concat(*PARTS)).alias("parts"))
     rows = materialize(rows, "secret-rows")
-    # An access key of the base is an identifier, other base spans are values: weak parts may complement them too.
-    parts = rows.where("parts is not null").dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", F.explode("parts").alias("s")).select("doc_id", "rid", "s.start", "s.end", "s.kind")
-    w = Window.partitionBy("doc_id", "rid").orderBy("start").rangeBetween(-scope, scope)
-    near = {k: F.max(F.when(F.col("kind") == k, 1)).over(w) for k in PARTS}
+    parts = rows.where("parts is not null").dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", F.explode(F.concat("base", "parts")).alias("s")).select("doc_id", "rid", "s.start", "s.end", "s.kind")
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("kind"))
+    parts = parts.withColumn("role", role)
+    w = Window.partitionBy("doc_id", "rid").orderBy("start")
+    before, after = w.rangeBetween(-scope, 0), w.rangeBetween(0, scope)
     other = F.lit(False)
-    for k, v in near.items():
-        other = other | ((F.col("kind") != k) & v.isNotNull())
-    linked = parts.select("doc_id", "rid", "start", "end", "kind", other.alias("linked")).where("linked")
+    for k in PARTS:  # the earliest end before a part and the latest start after it tell whether any lies apart from it
+        own = F.col("role") == k
+        apart = (F.min(F.when(own, F.col("end"))).over(before) <= F.col("start")) | (F.max(F.when(own, F.col("start"))).over(after) >= F.col("end"))
+        other = other | (~own & F.coalesce(apart, F.lit(False)))
+    linked = parts.select("doc_id", "rid", "start", "end", "kind", other.alias("linked")).where("linked").where(F.col("kind").isin(*PARTS))
     linked = linked.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end", "kind")).alias("linked"))
     linked = materialize(linked.withColumnsRenamed({"doc_id": "__d", "rid": "__r"}), "secret-links")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("rid") == F.col("__r"))
