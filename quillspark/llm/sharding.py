@@ -2,8 +2,10 @@
 
 Groups of equal texts are atomic and ordered by a hash of their text. The smallest capacity for which greedy filling
 needs no more shards than asked for is found by binary search, and the order is cut there. The search never sees all
-groups: it works on the sizes of at most ``DETAIL`` hash intervals, which bound every greedy cut from both sides, and
-asks Spark for finer intervals only where the bounds still differ. A group larger than the mean of what is left over
+groups: it works on the sizes of hash intervals, which bound every greedy cut from both sides, and asks Spark for finer
+intervals, ``DETAIL`` at a time, only where the bounds still differ: around the cuts of all capacities in doubt, or, if
+these are too many, around the first cuts in doubt of the middle one. An interval is a prefix of the hash's bits and is
+split each time that it is asked for, so the search ends. A group larger than the mean of what is left over
 for the other shards gets a shard of its own beforehand (the smallest capacity could not be under its size anyway),
 so that one giant group doesn't leave the other shards empty.
 """
@@ -20,18 +22,17 @@ from .common import materialize
 
 #: Intervals that one round of the search may fetch to the driver.
 DETAIL = 1 << 15
-#: Hash ranges that one round looks at.
-BANDS = 64
 #: Rows of a shard that are numbered by one window partition, about.
 SLOT_ROWS = 10_000
-SPAN = 1 << 63
+BITS = 63
+SPAN = 1 << BITS
 
 
 class _Order:
     """What is known of the order: intervals of the hash, each with its groups' count and bytes; gaps hold no groups."""
 
     def __init__(self, items: list[tuple[int, int, int, int]]):
-        """items: (lowest hash, last hash, groups, bytes), sorted."""
+        """items: (bits, their value, groups, bytes): the hashes that begin with those bits; sorted by hash."""
         self.items = items
         self.ends, at = [0], 0
         for item in items:
@@ -56,17 +57,44 @@ class _Order:
         return True if lows[-1] >= self.total else False if highs[-1] < self.total else None
 
 
-def _fetch(groups: DataFrame, bands: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """The intervals within bands of the hash, ``DETAIL`` in all at most."""
-    each = max(2, DETAIL // len(bands))
-    band = F.lit(0)
-    for a, _ in bands:
-        band = band + (F.col("u") >= a).cast("int")
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("band"))
-    part = groups.select("u", "bytes", band.alias("band")).where("band > 0").where(F.col("u") <= of([b for _, b in bands]))
-    part = part.select("*", of([a for a, _ in bands]).alias("low"), of([-(-(b - a + 1) // each) for a, b in bands]).alias("step"))
-    part = part.groupBy("band", F.expr("(u - low) div step").alias("cell")).agg(F.min("u").alias("a"), F.max("u").alias("b"), F.count("*").alias("n"), F.sum("bytes").alias("s"))
-    return sorted((r.a, r.b, r.n, r.s) for r in part.collect())
+    def between(self, lows: list[int], highs: list[int], most: int) -> tuple[list[int], bool]:
+        """The intervals of several groups between lower and upper bounds of cuts, from the left; whether these are all."""
+        found: list[int] = []
+        at = 0
+        for x, y in zip(lows, highs, strict=True):
+            at = max(at, bisect_right(self.ends, x) - 1)
+            while at < len(self.items) and self.ends[at] <= y:
+                if self.items[at][2] > 1:
+                    found.append(at)
+                at += 1
+            if len(found) >= most:
+                return found[:most], False
+        return found, True
+
+
+def _start(item: tuple[int, int, int, int]) -> int:
+    return item[1] << (BITS - item[0])
+
+
+def _fetch(groups: DataFrame, wanted: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The intervals that make up those of ``wanted``, each split in two at least and as far as ``DETAIL`` in all allows."""
+    deeper = 1
+    while deeper < BITS and sum(min(item[2], 2 << deeper) for item in wanted) <= DETAIL:
+        deeper += 1
+    levels = sorted({item[0] for item in wanted})
+    prefix = lambda bits: F.shiftrightunsigned("u", BITS - bits)
+    part = groups.where(F.col("u").between(_start(wanted[0]), ((wanted[-1][1] + 1) << (BITS - wanted[-1][0])) - 1))
+    if len(wanted) > 1 or levels != [0]:
+        table = groups.sparkSession.createDataFrame([item[:2] for item in wanted], "bits int, prefix long")  # DETAIL rows at most
+        part = part.select("u", "bytes", F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), prefix(b).alias("prefix")) for b in levels])).alias("e"))
+        part = part.select("u", "bytes", "e.*").join(F.broadcast(table), ["bits", "prefix"])
+    else:
+        part = part.withColumn("bits", F.lit(0))
+    finer: Column = F.lit(None)
+    for b in levels:
+        finer = F.when(F.col("bits") == b, prefix(min(BITS, b + deeper))).otherwise(finer)
+    part = part.groupBy("bits", finer.alias("cell")).agg(F.count("*").alias("n"), F.sum("bytes").alias("s"))
+    return [(min(BITS, r.bits + deeper), r.cell, r.n, r.s) for r in part.collect()]
 
 
 def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
@@ -74,44 +102,33 @@ def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 
     groups: one row per atomic group with ``u`` (its place in the order, from 0 to 2**63-1, unique) and ``bytes``.
     """
-    order = _Order(_fetch(groups, [(0, SPAN - 1)]))
+    order = _Order(sorted(_fetch(groups, [(0, 0, SPAN, 0)]), key=_start))
     if not order.items:
         return 0, []
     infeasible, feasible = -(-order.total // shards) - 1, order.total
     while True:
-        low, high = infeasible, feasible  # narrow both ends to the capacities that the intervals can't settle
-        a, b = infeasible, feasible
+        a, b = infeasible, feasible  # narrow both ends to the capacities that the intervals can't settle
         while b - a > 1:
             m = (a + b) // 2
             a, b = (m, b) if order.verdict(m, shards) is False else (a, m)
-        low = a
-        a, b = low, feasible
+        infeasible, b = a, feasible
         while b - a > 1:
             m = (a + b) // 2
             a, b = (a, m) if order.verdict(m, shards) else (m, b)
-        infeasible, feasible = low, b
+        feasible = b
         lows, highs = order.walk(feasible, shards)
         if feasible - infeasible == 1 and lows == highs:
-            last = [order.items[bisect_right(order.ends, x) - 2][1] for x in lows if x < order.total]
-            return feasible, last
-        first = order.walk(infeasible + 1, shards)[0]
-        wanted: set[int] = set()
-        for x, y in zip(first, highs, strict=True):  # every capacity in doubt cuts between these
-            k = max(0, bisect_right(order.ends, x) - 1)
-            while k < len(order.items) and order.ends[k] <= y:
-                if order.items[k][2] > 1:
-                    wanted.add(k)
-                k += 1
-        bands: list[tuple[int, int]] = []
-        before = -2
-        for k in sorted(wanted):
-            bands[-1:] = [(bands[-1][0], order.items[k][1])] if k == before + 1 else [*bands[-1:], (order.items[k][0], order.items[k][1])]
-            before = k
-        while len(bands) > BANDS:  # the nearest two become one; that only fetches more
-            k = min(range(1, len(bands)), key=lambda i: bands[i][0] - bands[i - 1][1])
-            bands[k - 1 : k + 1] = [(bands[k - 1][0], bands[k][1])]
-        fresh = _fetch(groups, bands)
-        order = _Order(sorted([x for x in order.items if not any(a <= x[0] <= b for a, b in bands)] + fresh))
+            last = [order.items[bisect_right(order.ends, x) - 2] for x in lows if x < order.total]
+            return feasible, [((item[1] + 1) << (BITS - item[0])) - 1 for item in last]
+        most = max(1, DETAIL // 4)
+        wanted, whole = order.between(order.walk(infeasible + 1, shards)[0], highs, most)  # every capacity in doubt cuts between these
+        if not whole:
+            wanted, _ = order.between(*order.walk((infeasible + feasible) // 2, shards), most)
+        fresh = _fetch(groups, [order.items[k] for k in wanted]) if wanted else []
+        if len(fresh) < len(wanted) or not wanted:
+            raise RuntimeError(f"the search for the least capacity stands still between {infeasible} and {feasible}")
+        gone = set(wanted)
+        order = _Order(sorted([x for k, x in enumerate(order.items) if k not in gone] + fresh, key=_start))
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:

@@ -122,8 +122,8 @@ def greedy(sizes, capacity):
     return n
 
 
-@pytest.mark.parametrize("detail,n", [(8, 300), (64, 2000), (1 << 15, 500)])
-def test_smallest_capacity(spark, monkeypatch, detail, n):
+@pytest.mark.parametrize("detail,n,shards", [(32, 300, 10), (256, 2000, 10), (1 << 15, 500, 10), (4096, 20_000, 40), (1 << 15, 60_000, 400), (1 << 15, 30_000, 4000)])
+def test_smallest_capacity(spark, monkeypatch, detail, n, shards):
     """Equals the least capacity of a plain search over all groups, however coarse the intervals are."""
     monkeypatch.setattr(H, "DETAIL", detail)
     r = random.Random(detail)
@@ -132,12 +132,12 @@ def test_smallest_capacity(spark, monkeypatch, detail, n):
     low, high = max(sizes), sum(sizes)
     while low < high:
         m = (low + high) // 2
-        low, high = (low, m) if greedy(sizes, m) <= 10 else (m + 1, high)
-    capacity, cuts = H.smallest_capacity(spark.createDataFrame(groups, "u long, bytes long"), 10)
-    assert capacity == low and len(cuts) <= 9
+        low, high = (low, m) if greedy(sizes, m) <= shards else (m + 1, high)
+    capacity, cuts = H.smallest_capacity(spark.createDataFrame(groups, "u long, bytes long").cache(), shards)
+    assert capacity == low and len(cuts) < shards
     by = Counter()
     for u, s in groups:
-        by[sum(u > c for c in cuts)] += s
+        by[bisect_right(cuts, u - 1)] += s
     assert max(by.values()) <= capacity
 
 
@@ -161,6 +161,6 @@ def test_shards(make, odd, none):
 
 
 def test_bounds_are_bisected():
-    order = H._Order([(0, 0, 1, 5), (1, 1, 1, 5), (2, 9, 3, 30)])
+    order = H._Order([(63, 0, 1, 5), (63, 1, 1, 5), (62, 1, 3, 30)])
     assert order.walk(10, 2) == ([10, 10], [10, 20]) and order.verdict(40, 1) is True and order.verdict(9, 2) is False
     assert bisect_right(order.ends, 10) == 3
