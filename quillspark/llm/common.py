@@ -63,6 +63,14 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def doubling(total: int) -> list[int]:
     """Shifts that grow a window of 1 to ``total`` by overlapping doubling: each shift is at most the size so far."""
     out, size = [], 1

@@ -7,12 +7,21 @@ first point that falls to it, so two documents agree in a component with probabi
 similarity, and the work stops once no later point can matter. Signatures are cut into bands; documents that share a
 band are compared by their bags of shingles.
 
-Equal texts are collapsed beforehand. Buckets are not expanded into pairs: in each round a few pivots of every bucket
-are compared with the bucket's other members of another class and then leave it, classes are joined, and buckets that
-lie within one class are finished. Rounds take more pivots as they go, until no bucket is left. A pair belongs to the
-first band that it shares, and is passed over there only if its signatures disagree in so many components that a
-similarity of the bound lies four standard deviations away; so every pair that shares a band is compared, already in
-one class, or ruled out by its signatures.
+Equal texts are collapsed before anything is signed. Buckets are not expanded into pairs. Each bucket's pivot is the
+member that shares most buckets with others, which is the same one, near the group's middle, for nearly all buckets of
+a group of copies; the others are compared with it. What that leaves open is decided by exact bounds against the pivot
+p (c: units shared with p, n: units):
+
+* a member less similar than 2t-1 to p can't be similar to one that p is linked to (the distance is a metric);
+* two other members share at most min(c, c') units of p, so a link needs a unit that both have and p has not, or
+  min(c, c') (1+t) >= t (n+n'). Members go on in a bucket for each unit that they have and p has not, and in one more
+  if the second condition can hold for them; a bucket within one class is finished.
+
+So each step's rows are bounded by the members and the units by which they differ from their pivot, and a bucket of
+copies with edits of their own falls apart at once. Members far from the pivot (chance collisions of a band), and those
+of the few-member buckets that are left after a step, meet the others by a join on the bucket, which only passes on
+those whose signatures allow the similarity within six standard deviations (one link in a billion is lost by that). A pivot ranks above all members of the buckets that follow from it,
+so the steps end.
 """
 
 from __future__ import annotations
@@ -21,14 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import broadcast_if_small, discard, materialize
+from .common import broadcast_if_small, discard, materialize, unused
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
 #: Least weighted Jaccard similarity, in hundredths.
 SIMILAR = 80
+#: Rows of one pivot or one text beyond which they are spread over tasks.
+HOT = 5_000
+#: Buckets of so many members that follow from a pivot are compared as they are, as are those far from their pivot.
+SMALL = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,7 +122,7 @@ def _band_rows(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
     """uid, h1, h2, n (shingles), bands, sketch."""
 
     def run(batches):
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", 1_000_000):
             keys, row = shingles(*K.buffer_of(batch.column("text")))
             n = np.bincount(row, minlength=batch.num_rows)
             whole = signatures(*bags(keys, row), batch.num_rows, bands * per_band).view(np.uint64)
@@ -123,25 +137,31 @@ def _band_rows(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
 
 
 def _bag_rows(docs: DataFrame) -> DataFrame:
-    """doc, units: one 32-bit number for each shingle and each time it occurs, so that bags compare as sets."""
+    """doc, h, n, units: one 32-bit number for each shingle and each time it occurs, so that bags compare as sets."""
 
     def run(batches):
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", 1_000_000):
             key, row, weight = bags(*shingles(*K.buffer_of(batch.column("text"))))
             each = np.repeat(np.arange(len(key)), weight)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
-            units = (K.mix(key[each] + _STEP * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            first = np.searchsorted(row[each], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(first), pa.array(units))], names=["doc", "units"])
+            units = (K.mix(key[each] + _STEP * nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+            owner = row[each]
+            order = np.lexsort((units, owner))
+            units, owner = units[order], owner[order]
+            once = np.flatnonzero(np.append(True, (units[1:] != units[:-1]) | (owner[1:] != owner[:-1]))) if len(units) else np.zeros(0, np.int64)
+            units, owner = units[once].view(np.int32), owner[once]  # two shingles of one text with one number count once
+            first = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("h1"), pa.array(np.diff(first).astype(np.int64)), pa.ListArray.from_arrays(pa.array(first), pa.array(units))], names=["doc", "h", "n", "units"])
 
-    return docs.mapInArrow(run, "doc long, units array<int>")
+    return docs.mapInArrow(run, "doc long, h long, n long, units array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b), nodes of one connected component having one root.
 
-    Contraction: every node moves to the neighbour of least rank (or stays), edges between the images remain. Ranks are
-    the ids in odd rounds, which folds stars in two, and random in even ones, which takes a constant share off chains.
+    Contraction: every node moves to the neighbour of least rank (or stays), and on from there up to four moves; edges
+    between the images remain. Ranks are the ids in odd rounds, which folds stars, and random in even ones, which takes a
+    constant share off chains.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     moved, step = None, 0
@@ -149,7 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
         step += 1
         rank = lambda c: F.struct((F.col(c) if step % 2 else F.xxhash64(F.col(c), F.lit(step))).alias("r"), F.col(c).alias("to"))  # noqa: B023, E731
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.least(rank("a"), rank("b")).alias("best")), F.struct(F.col("b").alias("node"), F.least(rank("a"), rank("b")).alias("best")))).alias("e")).select("e.*")
-        to = materialize(ends.groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.to").alias("to")), "moves")
+        to = ends.groupBy("node").agg(F.min("best").alias("best")).select("node", F.col("best.to").alias("to"))
+        for _ in range(2):  # moves lead to lower ranks only, so following them ends
+            to = materialize(to, "moves")
+            to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+        to = materialize(to, "moves")
         a = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         fewer = materialize(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
@@ -178,13 +202,73 @@ def _joined_classes(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(moved.join(roots, "node", "left_anti")), "classes-so-far")
 
 
-def _linked(pairs: DataFrame, units: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough."""
-    left = units.select(F.col("doc").alias("a"), F.col("units").alias("ua"))
-    right = units.select(F.col("doc").alias("b"), F.col("units").alias("ub"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = both.select("a", "b", F.size(F.array_intersect("ua", "ub")).alias("c"), (F.size("ua") + F.size("ub")).alias("n"))
-    return common.where(100 * F.col("c") >= similar * (F.col("n") - F.col("c"))).select("a", "b")
+def _shares(c: Column, n: Column, hundredths: int) -> Column:
+    """Whether c common units among n in all make a similarity of so many hundredths."""
+    return 100 * c >= hundredths * (n - c)
+
+
+def _measured(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The pairs (doc, pivot) with h, n and c (units in common), and the units that only doc has, for each text of either."""
+    spread = pairs.groupBy("pivot").agg(F.floor(F.count("*") / HOT).cast("int").alias("more")).where("more > 0")
+    spread = broadcast_if_small(materialize(spread, "hot-pivots"))  # one of HOT pairs at most
+    salted = pairs.join(spread, "pivot", "left").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.coalesce("more", F.lit(0)) + 1).alias("salt"))
+    own = units.select("doc", "n", F.col("units").alias("du"))
+    pivots = units.select(F.col("doc").alias("pivot"), F.col("h").alias("ph"), F.col("n").alias("pn"), F.col("units").alias("pu")).join(spread, "pivot", "left")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
+    both = salted.join(own, "doc").join(pivots, ["pivot", "salt"])
+    both = both.select("doc", "pivot", "ph", "n", "pn", F.array_except("du", "pu").alias("added"))
+    return both.withColumn("c", F.col("n") - F.size("added"))
+
+
+def _apart(members: DataFrame, nearness: DataFrame) -> DataFrame:
+    """bucket, doc, label, far (from the bucket's pivot) of the members that aren't linked to the pivot.
+
+    members: bucket, doc, label, pivot; nearness: doc, pivot, far, linked.
+    """
+    return members.join(nearness, ["doc", "pivot"]).where("not linked").select("bucket", "doc", "label", "far")
+
+
+def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int) -> DataFrame:
+    """doc, pivot: the far members with the others of their bucket that are of another class and may be similar."""
+    placed = materialize(placed, "apart")
+    some = placed.groupBy("bucket").agg(F.count("*").alias("all"), F.max("far").alias("any_far")).where("all > 1 and any_far").select("bucket")
+    rows = placed.join(some, "bucket").join(sketches, "doc")
+    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("doc", "label", "far", "n", "sketch")])
+    fits = (F.col("label") != F.col("o_label")) & (100 * F.least("n", "o_n") >= similar * F.greatest("n", "o_n")) & (~F.col("o_far") | (F.col("doc") < F.col("o_doc")))
+    found = rows.where("far").join(other, "bucket").where(fits & (_disagreeing("sketch", "o_sketch") <= most))
+    out = materialize(found.select("doc", F.col("o_doc").alias("pivot")).distinct(), "far-pairs")
+    discard(placed)
+    return out
+
+
+def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFrame:
+    """bucket, doc, deg, label: where members can still be linked to each other, given what they share with their pivot.
+
+    near: doc, pivot, ph, n, pn, c, added, deg of the members that aren't far from the pivot.
+    """
+    if roots is not None:
+        near = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
+    else:
+        near = near.withColumn("label", F.col("doc"))
+    mixed = near.groupBy("pivot", "ph").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot", "ph")
+    near = near.join(broadcast_if_small(materialize(mixed, "open-pivots")), ["pivot", "ph"])
+    near = near.withColumns({"linked": _shares(F.col("c"), F.col("n") + F.col("pn"), similar), "reach": F.col("c") * (100 + similar) / similar - F.col("n"), "bin": F.floor(1024 * F.col("c") / F.col("pn"))})
+    near = materialize(near, "open")
+    by_unit = near.select("pivot", "ph", F.explode("added").alias("unit"), "doc", "deg", "label").select(F.xxhash64(F.lit(1), "pivot", "ph", "unit").alias("bucket"), "doc", "deg", "label")
+    # Without such a unit: the member with fewer units of the pivot reaches the other's size.
+    of = lambda c, linked: F.when(F.col("linked") == linked, F.col(c))
+    bins = near.groupBy("pivot", "ph", "bin").agg(*[agg(of(c, linked)).alias(f"{c}_{linked}".lower()) for c, agg in (("reach", F.max), ("n", F.min)) for linked in (True, False)])
+    below, above = [Window.partitionBy("pivot", "ph").orderBy("bin").rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing))]
+    bins = bins.select("pivot", "ph", "bin", *[agg(c).over(w).alias(f"best_{c}") for c, agg, w in (("reach_true", F.max, below), ("reach_false", F.max, below), ("n_true", F.min, above), ("n_false", F.min, above))])
+    met = near.join(bins, ["pivot", "ph", "bin"])
+    with_unlinked = (F.col("reach") >= F.col("best_n_false")) | (F.col("n") <= F.col("best_reach_false"))
+    with_linked = (F.col("reach") >= F.col("best_n_true")) | (F.col("n") <= F.col("best_reach_true"))
+    met = met.where(F.coalesce(with_unlinked, F.lit(False)) | (~F.col("linked") & F.coalesce(with_linked, F.lit(False))))
+    every = materialize(by_unit.unionByName(met.select(F.xxhash64(F.lit(2), "pivot", "ph").alias("bucket"), "doc", "deg", "label")), "following")
+    mixed = every.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("bucket", "size")
+    out = materialize(every.join(broadcast_if_small(materialize(mixed, "mixed")), "bucket"), "members")
+    discard(near, every)
+    return out
 
 
 def _uid(id_col: str, text_col: str) -> Column:
@@ -201,57 +285,71 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col)
     named = docs.select(F.col(id_col).alias("doc_id"), _uid(id_col, text_col).alias("uid"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     filled = named.where("text is not null")
-    sigs = materialize(_band_rows(filled.select("uid", "h1", "h2", "text"), bands, rows), "bands")
-    # Texts: n and bands are the same for all copies.
-    texts = materialize(sigs.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
-    members = texts.where("n > 0").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    own = texts.select(F.col("rep").alias("doc"), "n", F.transform("bands", lambda b: (b % 2147483647).cast("int")).alias("bands"), "sketch")
-    members = materialize(members.join(shared, "bucket").join(own, "doc").withColumn("label", F.col("doc")), "members")
-    wanted = broadcast_if_small(materialize(members.select(F.col("doc").alias("uid")).distinct(), "wanted"))
-    units = materialize(_bag_rows(filled.join(wanted, "uid", "left_semi").select("uid", "text")), "bags")
+    texts = materialize(filled.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "texts")
+    one = broadcast_if_small(texts.select("h1", "h2", F.col("rep").alias("uid")))
+    first = filled.join(one, ["h1", "h2", "uid"], "left_semi").select("uid", "h1", "h2", "text")
+    sigs = materialize(_band_rows(first, bands, rows), "bands")
+    repeated = sigs.count() > texts.count()  # rows that are equal to their text's first in id and text
+    if repeated:
+        sigs = materialize(sigs.dropDuplicates(["h1", "h2"]), "bands-once")
+    members = sigs.where("n > 0").select(F.col("uid").alias("doc"), F.explode("bands").alias("bucket")).distinct() if repeated else sigs.where("n > 0").select(F.col("uid").alias("doc"), F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(members.join(shared, "bucket"), "shared")
+    degrees = materialize(members.groupBy("doc").agg(F.sum("size").alias("deg")), "degrees")
+    wanted = broadcast_if_small(degrees.select(F.col("doc").alias("uid")))
+    units = _bag_rows(first.join(wanted, "uid", "left_semi"))
+    units = materialize(units.dropDuplicates(["doc", "h"]) if repeated else units, "bags")
+    sketches = sigs.select(F.col("uid").alias("doc"), "n", "sketch")
+    members = materialize(members.withColumn("size", F.lit(SMALL + 1).cast("long")).join(degrees, "doc").withColumn("label", F.col("doc")), "members")
     p, size = similar / 100 + (1 - similar / 100) / 16, bands * rows  # a component's four bits agree with probability p
-    most = int(size * (1 - p) + 4 * (size * p * (1 - p)) ** 0.5) + 1
-    kept = ["bucket", "band", "doc", "n", "bands", "sketch"]
-    roots, step, pivots = None, 0, 1
+    most = int(size * (1 - p) + 6 * (size * p * (1 - p)) ** 0.5) + 1
+    apart = max(0, 2 * similar - 100)
+    roots = None
     while not members.isEmpty():
-        step += 1
-        rank = F.col("doc") if step == 1 else F.xxhash64(F.col("doc"), F.lit(step))
-        chosen = members.groupBy("bucket", F.pmod(F.xxhash64("doc", F.lit(step)), F.lit(pivots)).alias("slice")).agg(F.min(F.struct(rank.alias("rank"), "doc", "n", "label", "bands", "sketch")).alias("p"))
-        chosen = chosen.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"), F.col("p.bands").alias("pbands"), F.col("p.sketch").alias("psketch"))
-        chosen = materialize(chosen, "pivots")
-        near = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= similar * F.greatest("n", "pn"))
-        near = near & (F.array_position(F.zip_with("bands", "pbands", lambda x, y: x == y), True) == F.col("band") + 1) & (_disagreeing("sketch", "psketch") <= most)
-        pairs = members.join(chosen, "bucket").where(near).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        found = materialize(_linked(pairs, units, similar), "links")
-        left = members.join(chosen.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
-        if not found.isEmpty():
-            roots = _joined_classes(roots, found)
-            left = left.drop("label").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(*kept, F.coalesce("root", "doc").alias("label"))
-        left = materialize(left.select(*kept, "label"), "left")
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-        following = materialize(left.join(mixed, "bucket"), "members")
-        discard(members, chosen, left, found)
+        small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+        best = large.groupBy("bucket").agg(F.min(F.struct(-F.col("deg"), "doc")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"))
+        placed = materialize(large.join(broadcast_if_small(materialize(best, "pivots")), "bucket").where("doc <> pivot"), "placed")
+        near = materialize(_measured(placed.select("doc", "pivot").distinct(), units).join(degrees, "doc"), "near")
+        total = F.col("n") + F.col("pn")
+        linked, close = _shares(F.col("c"), total, similar), _shares(F.col("c"), total, apart)
+        nearness = near.groupBy("doc", "pivot").agg(F.min(~close).alias("far"), F.max(linked).alias("linked"))
+        far = _far_pairs(_apart(placed, nearness).unionByName(small.select("bucket", "doc", "label", F.lit(True).alias("far"))), sketches, similar, most)
+        links = near.where(linked).select("doc", "pivot").unionByName(_measured(far, units).where(linked).select("doc", "pivot"))
+        links = materialize(links.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
+        if not links.isEmpty():
+            fresh = _joined_classes(roots, links)
+            discard(*([roots] if roots is not None else []))
+            roots = fresh
+        following = _following(near.where(close), roots, similar)
+        discard(members, placed, near, far, links)
         members = following
-        pivots *= 8
-    by_text = texts.select("h1", "h2", "rep")
+    least = texts.withColumn("class", F.col("rep"))
     if roots is not None:
-        least = roots.join(roots.groupBy("root").agg(F.min("node").alias("class")), "root").select(F.col("node").alias("rep"), "class")
-        by_text = by_text.join(least, "rep", "left").select("h1", "h2", "rep", F.coalesce("class", "rep").alias("class"))
-    else:
-        by_text = by_text.withColumn("class", F.col("rep"))
-    by_text = materialize(by_text, "classes")
+        named_roots = roots.join(roots.groupBy("root").agg(F.min("node").alias("class")), "root").select(F.col("node").alias("rep"), "class")
+        least = texts.join(named_roots, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    least = materialize(least.select("h1", "h2", "copies", "class"), "classes")
     named = named.select("doc_id", "uid", "h1", "h2", F.col("text").isNotNull().alias("filled"))
-    out = named.where("filled").join(by_text, ["h1", "h2"]).select("doc_id", F.col("class").alias("class_id"), (F.col("uid") == F.col("class")).alias("kept"))
+    # Texts with very many copies are broadcast (one for HOT rows at most), so that none makes a task large.
+    often = least.where(F.col("copies") > HOT).select("h1", "h2", F.col("class").alias("often"))
+    out = named.where("filled").join(broadcast_if_small(materialize(often, "often")), ["h1", "h2"], "left")
+    seldom = least.where(F.col("copies") <= HOT).select("h1", "h2", "class")
+    rest = out.where("often is null").drop("often").join(broadcast_if_small(seldom), ["h1", "h2"])
+    out = rest.unionByName(out.where("often is not null").withColumnRenamed("often", "class"))
+    out = out.select("doc_id", F.col("class").alias("class_id"), (F.col("uid") == F.col("class")).alias("kept"))
     return out.unionByName(named.where("not filled").select("doc_id", F.col("uid").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, with all its columns; of repeated rows of the kept document, one stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("class_id").alias("__uid"))
+    """One document of each class, with all its columns; of repeated rows of the kept document, one stays.
+
+    Null texts stay, each under its id; columns of any name pass through as they are; an empty table gives no rows.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("class_id")
     found = materialize(found, "kept")
     once = found.distinct()
-    rows = docs.withColumn("__uid", _uid(id_col, text_col)).join(broadcast_if_small(once), "__uid", "left_semi")
+    uid = unused(docs, "uid")
+    rows = docs.withColumn(uid, _uid(id_col, text_col))
+    rows = rows.join(broadcast_if_small(once.withColumnRenamed("class_id", uid)), uid, "left_semi")
     if found.count() > once.count():
-        rows = rows.dropDuplicates(["__uid"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates([uid])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from .common import materialize
 CAPACITY = 4096
 EOS = 1
 #: Pieces of one length that one window partition ranks, about.
-RANK_ROWS = 10_000
+RANK_ROWS = 1_000
 _ENCODERS: dict = {}
 
 
@@ -43,20 +43,24 @@ def tokenized_pieces(docs: DataFrame, *, id_col: str, text_col: str, capacity: i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        encoder, end = _encoder(path), np.array([eos], "<u4").tobytes()
-        for batch in K.slices(batches, "text"):
-            row, piece, length, crc = [], [], [], []
-            for k, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                ids += end
-                for p in range(0, len(ids), 4 * capacity):
-                    part = ids[p : p + 4 * capacity]
-                    row.append(k)
-                    piece.append(p // (4 * capacity))
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            piece = np.array(piece, np.int32)
+        encoder = _encoder(path)
+        for batch in K.slices(batches, "text", 2_000_000):
+            found, n = encoder.encode(batch.column("text"))
+            n += 1  # the end id
+            first = np.append(0, np.cumsum(n))
+            ids = np.full(first[-1], eos, "<u4")
+            inner = np.ones(len(ids), bool)
+            inner[first[1:] - 1] = False
+            ids[inner] = found
+            cuts = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * capacity
+            length = np.minimum(n[row] - start, capacity)
+            at, whole = first[row] + start, memoryview(ids).cast("B")
+            crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

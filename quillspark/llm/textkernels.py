@@ -15,7 +15,7 @@ _VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 #: Powers are kept for so many bytes; longer buffers are handled in slices of it.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: ASCII white space: blank and \\x09 to \\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -124,7 +124,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(keys[inside]), row[:n][inside]
 
 
-def slices(batches, column: str, most: int = 4_000_000):
+def slices(batches, column: str, most: int = 1_000_000):
     """Arrow batches cut into runs of rows with about ``most`` bytes of text each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

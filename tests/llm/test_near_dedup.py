@@ -74,6 +74,62 @@ def test_large_bucket_of_unlike_documents(make):
     assert {x.doc_id: x.class_id for x in found} == brute(pairs)
 
 
+def test_group_of_edited_copies(make, monkeypatch):
+    """Copies with edits of their own, copies of copies, and prefixes of one text: classes as by brute force."""
+    monkeypatch.setattr(N, "SMALL", 60)  # some steps by pivots
+    r = random.Random(21)
+    new = lambda: "n" + str(r.randint(0, 10**7))
+    base = [f"b{r.randint(0, 10**5)}" for _ in range(150)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(r.randint(1, 7)):
+            w[r.randrange(len(w))] = new()
+        texts.append(" ".join(w))
+        if k % 10 == 0:  # edits that several share
+            for _ in range(4):
+                v = list(w)
+                v[r.randrange(len(v))] = new()
+                texts.append(" ".join(v))
+    texts += [" ".join(base[:k]) for k in range(60, 150, 10)] + [" ".join(base[k:] + [new() for _ in range(40)]) for k in range(0, 60, 20)]
+    r.shuffle(texts)
+    pairs = list(enumerate(texts))
+    found = N.near_duplicates(make(pairs), bands=40, rows=2).collect()
+    assert {x.doc_id: x.class_id for x in found} == brute(pairs)
+
+
+def test_recall_at_the_registered_settings(make):
+    """Of the pairs of similarity 0.8 or more, at least 0.99 are in one class."""
+    r = random.Random(22)
+    pairs, near = [], 0
+    for k in range(150):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(60, 200))]
+        v = list(w)
+        for _ in range(r.randint(1, max(1, len(w) // 45))):
+            v[r.randrange(len(v))] = f"x{r.randint(0, 10**6)}"
+        pairs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    want = brute(pairs)
+    found = {x.doc_id: x.class_id for x in N.near_duplicates(make(pairs)).collect()}
+    close = [k for k in range(150) if want[2 * k + 1] == 2 * k]
+    assert len(close) > 75 and sum(found[2 * k + 1] == 2 * k for k in close) >= 0.99 * len(close)
+    assert all(found[2 * k + 1] == 2 * k + 1 for k in range(150) if k not in close)
+
+
+def test_hot_pivots_and_texts(make, monkeypatch):
+    """Pivots and texts that are spread over tasks give the same classes."""
+    monkeypatch.setattr(N, "HOT", 7)
+    r = random.Random(23)
+    base = [f"b{i}" for i in range(120)]
+    pairs = [(i, " ".join([*base[: i % 100], f"n{i}", *base[i % 100 + 1 :]])) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(30)] + [(200 + i, f"lone {r.random()}") for i in range(5)]
+    found = N.near_duplicates(make(pairs)).collect()
+    assert {x.doc_id: x.class_id for x in found} == brute(pairs)
+
+
+def test_keep_one_passes_columns_through(make):
+    kept = N.keep_one(make([(777, "a b c d e f"), (778, "q r s t u v")]))
+    assert {r["__uid"] for r in kept.collect()} == {3}
+
+
 def test_odd_rows(odd, none):
     found = N.near_duplicates(odd)
     assert found.count() == odd.count() and N.near_duplicates(none).count() == 0
