@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that may be broadcast: above it, the callers keep a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Text that one Arrow batch takes to a Python worker, about.
+BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches that go to Python workers to a few megabytes (their default bound is a count of rows)."""
+    found = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if found.lstrip("-").isdigit() and not 0 < int(found) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

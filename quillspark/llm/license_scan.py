@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .common import bounded_batches
 
 SIMILAR = 0.8
 #: Licence notices and short texts, in their publishers' public wording.
@@ -158,6 +159,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     chosen = templates or TEMPLATES
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    bounded_batches(docs.sparkSession)
     def run(batches):
         scanner = Scanner(chosen, similar)
         for batch in K.slices(batches, "text"):

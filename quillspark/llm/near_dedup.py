@@ -20,7 +20,8 @@ p (c: units shared with p, n: units):
 So each step's rows are bounded by the members and the units by which they differ from their pivot, and a bucket of
 copies with edits of their own falls apart at once. Members far from the pivot (chance collisions of a band), and those
 of the few-member buckets that are left after a step, meet the others by a join on the bucket, which only passes on
-those whose signatures allow the similarity within six standard deviations (one link in a billion is lost by that). A pivot ranks above all members of the buckets that follow from it,
+those whose signatures allow the similarity within five standard deviations (three links in ten million are lost by
+that). A pivot ranks above all members of the buckets that follow from it,
 so the steps end.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import broadcast_if_small, discard, materialize, unused
+from .common import bounded_batches, broadcast_if_small, discard, materialize, unused
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
@@ -121,6 +122,7 @@ def _disagreeing(a: str, b: str) -> Column:
 def _band_rows(docs: DataFrame, bands: int, per_band: int) -> DataFrame:
     """uid, h1, h2, n (shingles), bands, sketch."""
 
+    bounded_batches(docs.sparkSession)
     def run(batches):
         for batch in K.slices(batches, "text", 1_000_000):
             keys, row = shingles(*K.buffer_of(batch.column("text")))
@@ -221,11 +223,11 @@ def _measured(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, nearness: DataFrame) -> DataFrame:
-    """bucket, doc, label, far (from the bucket's pivot) of the members that aren't linked to the pivot.
+    """bucket, doc, label, far (from the bucket's pivot), c, only (null) of the members that aren't linked to the pivot.
 
     members: bucket, doc, label, pivot; nearness: doc, pivot, far, linked.
     """
-    return members.join(nearness, ["doc", "pivot"]).where("not linked").select("bucket", "doc", "label", "far")
+    return members.join(nearness, ["doc", "pivot"]).where("not linked").select("bucket", "doc", "label", "far", *[F.lit(None).cast("long").alias(c) for c in ("c", "only")])
 
 
 def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int) -> DataFrame:
@@ -233,8 +235,11 @@ def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int)
     placed = materialize(placed, "apart")
     some = placed.groupBy("bucket").agg(F.count("*").alias("all"), F.max("far").alias("any_far")).where("all > 1 and any_far").select("bucket")
     rows = placed.join(some, "bucket").join(sketches, "doc")
-    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("doc", "label", "far", "n", "sketch")])
+    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("doc", "label", "far", "n", "sketch", "c", "only")])
     fits = (F.col("label") != F.col("o_label")) & (100 * F.least("n", "o_n") >= similar * F.greatest("n", "o_n")) & (~F.col("o_far") | (F.col("doc") < F.col("o_doc")))
+    # Of a common pivot's units they share c at most, of others no more than either has.
+    reach = F.coalesce((100 + similar) * (F.least("c", "o_c") + F.least("only", "o_only")) >= similar * (F.col("n") + F.col("o_n")), F.lit(True))
+    fits = fits & reach
     found = rows.where("far").join(other, "bucket").where(fits & (_disagreeing("sketch", "o_sketch") <= most))
     out = materialize(found.select("doc", F.col("o_doc").alias("pivot")).distinct(), "far-pairs")
     discard(placed)
@@ -242,7 +247,7 @@ def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int)
 
 
 def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFrame:
-    """bucket, doc, deg, label: where members can still be linked to each other, given what they share with their pivot.
+    """bucket, size, doc, deg, label, c, only (units that the pivot has not): where members can still be linked to each other, given what they share with their pivot.
 
     near: doc, pivot, ph, n, pn, c, added, deg of the members that aren't far from the pivot.
     """
@@ -252,9 +257,9 @@ def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFr
         near = near.withColumn("label", F.col("doc"))
     mixed = near.groupBy("pivot", "ph").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot", "ph")
     near = near.join(broadcast_if_small(materialize(mixed, "open-pivots")), ["pivot", "ph"])
-    near = near.withColumns({"linked": _shares(F.col("c"), F.col("n") + F.col("pn"), similar), "reach": F.col("c") * (100 + similar) / similar - F.col("n"), "bin": F.floor(1024 * F.col("c") / F.col("pn"))})
+    near = near.withColumns({"linked": _shares(F.col("c"), F.col("n") + F.col("pn"), similar), "reach": F.col("c") * (100 + similar) / similar - F.col("n"), "bin": F.floor(1024 * F.col("c") / F.col("pn")), "only": F.col("n") - F.col("c")})
     near = materialize(near, "open")
-    by_unit = near.select("pivot", "ph", F.explode("added").alias("unit"), "doc", "deg", "label").select(F.xxhash64(F.lit(1), "pivot", "ph", "unit").alias("bucket"), "doc", "deg", "label")
+    by_unit = near.select("pivot", "ph", F.explode("added").alias("unit"), "doc", "deg", "label", "c", "only").select(F.xxhash64(F.lit(1), "pivot", "ph", "unit").alias("bucket"), "doc", "deg", "label", "c", "only")
     # Without such a unit: the member with fewer units of the pivot reaches the other's size.
     of = lambda c, linked: F.when(F.col("linked") == linked, F.col(c))
     bins = near.groupBy("pivot", "ph", "bin").agg(*[agg(of(c, linked)).alias(f"{c}_{linked}".lower()) for c, agg in (("reach", F.max), ("n", F.min)) for linked in (True, False)])
@@ -264,8 +269,9 @@ def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFr
     with_unlinked = (F.col("reach") >= F.col("best_n_false")) | (F.col("n") <= F.col("best_reach_false"))
     with_linked = (F.col("reach") >= F.col("best_n_true")) | (F.col("n") <= F.col("best_reach_true"))
     met = met.where(F.coalesce(with_unlinked, F.lit(False)) | (~F.col("linked") & F.coalesce(with_linked, F.lit(False))))
-    every = materialize(by_unit.unionByName(met.select(F.xxhash64(F.lit(2), "pivot", "ph").alias("bucket"), "doc", "deg", "label")), "following")
-    mixed = every.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("bucket", "size")
+    every = materialize(by_unit.unionByName(met.select(F.xxhash64(F.lit(2), "pivot", "ph").alias("bucket"), "doc", "deg", "label", "c", "only")), "following")
+    mixed = every.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("a <> b")
+    mixed = mixed.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # one of those with the same members
     out = materialize(every.join(broadcast_if_small(materialize(mixed, "mixed")), "bucket"), "members")
     discard(near, every)
     return out
@@ -300,9 +306,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     units = _bag_rows(first.join(wanted, "uid", "left_semi"))
     units = materialize(units.dropDuplicates(["doc", "h"]) if repeated else units, "bags")
     sketches = sigs.select(F.col("uid").alias("doc"), "n", "sketch")
-    members = materialize(members.withColumn("size", F.lit(SMALL + 1).cast("long")).join(degrees, "doc").withColumn("label", F.col("doc")), "members")
+    members = materialize(members.withColumns({"size": F.lit(SMALL + 1).cast("long"), "c": F.lit(None).cast("long"), "only": F.lit(None).cast("long")}).join(degrees, "doc").withColumn("label", F.col("doc")), "members")
     p, size = similar / 100 + (1 - similar / 100) / 16, bands * rows  # a component's four bits agree with probability p
-    most = int(size * (1 - p) + 6 * (size * p * (1 - p)) ** 0.5) + 1
+    most = int(size * (1 - p) + 5 * (size * p * (1 - p)) ** 0.5) + 1
     apart = max(0, 2 * similar - 100)
     roots = None
     while not members.isEmpty():
@@ -313,7 +319,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         total = F.col("n") + F.col("pn")
         linked, close = _shares(F.col("c"), total, similar), _shares(F.col("c"), total, apart)
         nearness = near.groupBy("doc", "pivot").agg(F.min(~close).alias("far"), F.max(linked).alias("linked"))
-        far = _far_pairs(_apart(placed, nearness).unionByName(small.select("bucket", "doc", "label", F.lit(True).alias("far"))), sketches, similar, most)
+        far = _far_pairs(_apart(placed, nearness).unionByName(small.select("bucket", "doc", "label", F.lit(True).alias("far"), "c", "only")), sketches, similar, most)
         links = near.where(linked).select("doc", "pivot").unionByName(_measured(far, units).where(linked).select("doc", "pivot"))
         links = materialize(links.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
         if not links.isEmpty():

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import materialize
+from .common import bounded_batches, materialize
 
 CAPACITY = 4096
 EOS = 1
@@ -42,6 +42,7 @@ def tokenized_pieces(docs: DataFrame, *, id_col: str, text_col: str, capacity: i
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``eos``, cut after every ``capacity`` ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    bounded_batches(docs.sparkSession)
     def run(batches):
         encoder = _encoder(path)
         for batch in K.slices(batches, "text", 2_000_000):

@@ -2,9 +2,10 @@
 
 Every document is measured once in NumPy. The measures are whole numbers in bounded ranges, so a histogram per
 language, source and measure is a quantile sketch of bounded size that merges by addition, exactly and in any order.
-Bounds are fences around each group's quartiles, never tighter than the guard rails in ``MEASURES``; groups of fewer
-than ``MIN_GROUP`` documents use the sketch of all groups merged. Documents are then filtered against the bounds
-joined to them.
+Bounds are fences: a range between two quantiles of the group, or some times it, beyond them (``MEASURES``); quartiles
+where junk may be frequent, the 98th percentile where most texts have nothing to count. A range counts as so many bins
+at least. A group's quantiles are drawn towards those of all groups merged as if ``PRIOR`` documents more had been seen
+there, so small groups have bounds too. Documents are then filtered against the bounds joined to them.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import broadcast_if_small, materialize
+from .common import bounded_batches, broadcast_if_small, materialize
 
-#: measure: (last bin, lowest upper bound or None, highest lower bound or None); bounds leave ordinary texts alone.
-MEASURES = {"symbol_pm": (1000, 100, None), "word_len_x10": (1000, 150, 25), "dup_line_pm": (1000, 300, None), "repeat_pm": (1000, 150, None)}
-MIN_GROUP = 50
-#: Fences: so many interquartile ranges (of ``LEAST_RANGE`` bins at least) beyond the quartiles.
-FENCE, LEAST_RANGE = 3, 10
+#: measure: (last bin, two percentiles, how many times their range is allowed beyond them, its least number of bins,
+#: whether there is a lower bound).
+MEASURES = {"symbol_pm": (1000, 25, 75, 3, 10, False), "word_len_x10": (1000, 25, 75, 3, 8, True), "dup_line_pm": (1000, 50, 98, 1, 50, False), "repeat_pm": (1000, 50, 98, 1, 30, False)}
+PRIOR = 20
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
 
@@ -70,6 +70,7 @@ def with_metrics(rows: DataFrame, text: str, drop_text: bool) -> DataFrame:
     schema = T.StructType([*kept, *[T.StructField(f"__{m}", T.LongType()) for m in METRICS]])
     names = [f.name for f in kept]
 
+    bounded_batches(rows.sparkSession)
     def run(batches):
         for batch in K.slices(batches, text):
             found = _measure(*K.buffer_of(batch.column(text)))
@@ -94,29 +95,39 @@ def sketch(measured: DataFrame, lang: str, source: str) -> DataFrame:
     return measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("e")).groupBy("lang", "source", "e.m", "e.bin").agg(F.count("*").alias("n"))
 
 
-def _bounds(hist: DataFrame, by: list[str]) -> DataFrame:
-    """The fences of each measure, a row for each group: <measure>_low, <measure>_high, n_docs."""
+def _quantiles(hist: DataFrame, by: list[str]) -> DataFrame:
+    """The percentiles of each measure, a row for each group: <measure>_a, <measure>_b, n_docs."""
     w = Window.partitionBy(*by, "m")
     cum = hist.select("*", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin")))
-    q = cum.groupBy(*by, "m").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("n_docs"))
-    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_RANGE))
-    q = q.select(*by, "m", "n_docs", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    out = [F.max("n_docs").alias("n_docs")]
-    for k, (_, least_high, most_low) in MEASURES.items():
-        of = lambda c, k=k: F.max(F.when(F.col("m") == k, F.col(c)))
-        out += [F.greatest(of("high"), F.lit(least_high)).alias(f"{k}_high"), (F.least(of("low"), F.lit(most_low)) if most_low is not None else F.lit(-1)).alias(f"{k}_low")]
-    return q.groupBy(*by).agg(*out)
+    quantile = lambda k, q, name: F.min(F.when((F.col("m") == k) & (F.col("upto") * 100 >= F.col("all") * q), F.col("bin"))).alias(f"{k}_{name}")
+    return cum.groupBy(*by).agg(F.max("all").alias("n_docs"), *[quantile(k, MEASURES[k][i], name) for k in MEASURES for i, name in ((1, "a"), (2, "b"))])
 
 
 def thresholds(hist: DataFrame) -> DataFrame:
-    """A row per (lang, source) with its own bounds, or those of all groups merged if it has too few documents."""
-    own = _bounds(hist, ["lang", "source"])
-    merged = _bounds(hist.groupBy("m", "bin").agg(F.sum("n").alias("n")).withColumn("all_groups", F.lit(1)), ["all_groups"])
-    cols = [f"{k}_{end}" for k in MEASURES for end in ("low", "high")]
-    merged = F.broadcast(merged.select(*[F.col(c).alias(f"any_{c}") for c in cols]))  # one row
-    few = F.col("n_docs") < MIN_GROUP
-    return own.join(merged, F.lit(True)).select("lang", "source", *[F.when(few, F.col(f"any_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
+    """A row per (lang, source) with its bounds: <measure>_low, <measure>_high."""
+    own = _quantiles(hist, ["lang", "source"])
+    merged = _quantiles(hist.groupBy("m", "bin").agg(F.sum("n").alias("n")).withColumn("all_groups", F.lit(1)), ["all_groups"]).drop("n_docs", "all_groups")
+    merged = F.broadcast(merged.select(*[F.col(c).alias(f"any_{c}") for c in merged.columns]))  # one row
+    drawn = lambda c: (F.col(c) * F.col("n_docs") + F.col(f"any_{c}") * PRIOR) / (F.col("n_docs") + PRIOR)
+    out = []
+    for k, (_, _, _, times, least, lower) in MEASURES.items():
+        reach = times * F.greatest(drawn(f"{k}_b") - drawn(f"{k}_a"), F.lit(float(least)))
+        out += [(drawn(f"{k}_a") - reach if lower else F.lit(-1.0)).alias(f"{k}_low"), (drawn(f"{k}_b") + reach).alias(f"{k}_high")]
+    return own.join(merged, F.lit(True)).select("lang", "source", *out)
+
+
+def judged(measured: DataFrame, hist: DataFrame, lang: str, source: str) -> DataFrame:
+    """``measured`` with ``__base_failed`` and ``__kept``; the caller's columns may have any other names."""
+    mark = lambda c: F.col(f"bounds.{c}")
+    bounds = thresholds(hist)
+    bounds = broadcast_if_small(materialize(bounds, "quality-bounds"), 100_000).select(F.struct("*").alias("bounds"))
+    fits = F.lit(True)
+    for k, v in measures().items():
+        fits = fits & F.coalesce(v.between(mark(f"{k}_low"), mark(f"{k}_high")), F.lit(True))
+    cols = [F.col(f"`{c}`") for c in measured.columns]
+    joined = measured.select(F.struct(*cols).alias("row"), F.col(lang).alias("of_lang"), F.col(source).alias("of_source"), base_failed().alias("failed"), *[F.col(f"__{m}") for m in METRICS])
+    joined = joined.join(bounds, F.col("of_lang").eqNullSafe(mark("lang")) & F.col("of_source").eqNullSafe(mark("source")), "left")
+    return joined.select("row.*", F.col("failed").alias("__base_failed"), (~F.col("failed") & fits).alias("__kept"))
 
 
 def judged(measured: DataFrame, hist: DataFrame, lang: str, source: str) -> DataFrame:
@@ -143,7 +154,14 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with all their columns. Texts are measured twice rather than shuffled."""
-    slim = docs.select(F.col(text_col), F.col(lang_col), F.col(source_col))
-    hist = materialize(sketch(with_metrics(slim, text_col, drop_text=True), lang_col, source_col), "quality-sketch")
-    return judged(with_metrics(docs, text_col, drop_text=False), hist, lang_col, source_col).where("__kept").select(*docs.columns)
+    """The documents that the rules keep, with all their columns. Texts are measured twice rather than shuffled.
+
+    Null and empty texts go, a null language or source is a group of its own, repeated rows are judged alike; columns
+    of any name pass through as they are; an empty table gives no rows.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the caller's are
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    plain = docs.toDF(*names)
+    text, lang, source = at[text_col], at[lang_col], at[source_col]
+    hist = materialize(sketch(with_metrics(plain.select(text, lang, source), text, drop_text=True), lang, source), "quality-sketch")
+    return judged(with_metrics(plain, text, drop_text=False), hist, lang, source).where("__kept").select(*names).toDF(*docs.columns)

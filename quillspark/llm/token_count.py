@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .common import bounded_batches
 from .bpe import _byte_chars
 
 LIMIT = 1024
@@ -291,6 +292,7 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    bounded_batches(docs.sparkSession)
     def run(batches):
         if path not in _TRANSDUCERS:
             _TRANSDUCERS[path] = Transducer(path)
