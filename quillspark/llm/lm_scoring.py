@@ -7,11 +7,10 @@ candidate if at least ``LEAST_COUNT`` symbols follow it, so the tree grows with
 likelihood ratio of its next-symbol distribution against that of its longest retained suffix outweighs the parameters
 it adds. Distributions are smoothed by that suffix's (Witten-Bell); a symbol is scored by the longest retained suffix
 of what precedes it. The tree is made level by level by joins. Up to ``TREE_ROWS``
-retained counts go to the executors; beyond, windows get their values by shuffled joins. A token's probability mixes the
-tree's with the token's share of the training tokens; the tree's weight is the probability of an unseen token
-(Good-Turing).
+retained counts go to the executors; beyond, windows get their values by shuffled joins. The score of a text is the sum
+over its symbols, its end included.
 
-Counts of all tokens are needed for that and for the base. Tokens that make up at least ``1 / FREQUENT`` of the
+Counts of all tokens are needed for the base alone. Tokens that make up at least ``1 / FREQUENT`` of the
 training tokens (so at most ``FREQUENT`` of them) are looked up on the executors; the others are joined by a shuffle.
 """
 
@@ -24,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import broadcast_if_small, discard, materialize
+from .common import bounded_batches, broadcast_if_small, discard, materialize
 
 #: A window of a symbol and its context is one 64-bit number.
 DEPTH = 7
 LEAST_COUNT = 64
 #: Retained counts (context and symbol) of a tree that is held in memory.
-TREE_ROWS = 1_500_000
+TREE_ROWS = 4_000_000
 FREQUENT = 1 << 20
 END, BLANK = 10, 32
 #: The end of a text as a token, beside the words' hashes.
@@ -182,14 +181,17 @@ def count_all(docs: DataFrame) -> DataFrame:
 
 
 def candidates(counted: DataFrame) -> list[DataFrame]:
-    """By depth, from 0: context, symbol, n of the contexts that LEAST_COUNT symbols follow (all at depth 0)."""
+    """By depth, from 0: context, symbol, n of the contexts that LEAST_COUNT symbols follow (all at depth 0).
+
+    ``counted`` is deleted on the way.
+    """
     whole = counted.where("kind = 1").select(_suffix(F.shiftright("key", 8), DEPTH).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n", "all")
     out, last = [], None
     for d in range(DEPTH, -1, -1):
         if d < DEPTH:
             each = whole.select(_suffix("context", d).alias("context"), "symbol", "n").repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
             whole = materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("context"))), f"contexts-{d}")
-            discard(*([last] if last is not None else []))
+            discard(counted if last is None else last)
             last = whole
         out.append(materialize(whole.where(F.col("all") >= (LEAST_COUNT if d else 0)).drop("all"), f"candidates-{d}"))
     discard(last)
@@ -215,7 +217,11 @@ def fit(levels: list[DataFrame]) -> tuple[np.ndarray, list[DataFrame]]:
         smooth = (F.col("n") + F.col("kinds") * F.col("mean")) / (F.col("all") + F.col("kinds"))
         each = materialize(each.select("context", "symbol", "n", "kept", F.log10(F.col("kinds") / (F.col("all") + F.col("kinds"))).alias("backoff"), F.when(F.col("kept"), smooth).otherwise(F.col("mean")).alias("mean")), f"tree-{d}")
         known = each.select(F.col("context").alias("suffix"), "symbol", "mean")
-        out.append(each.where("kept").drop("kept"))
+        out.append(materialize(each.where("kept").drop("kept"), f"kept-{d}"))
+        discard(level, *([before] if d > 1 else []))
+        before = each
+    if len(levels) > 1:
+        discard(before)
     return counts, out
 
 
@@ -243,33 +249,31 @@ def window_values(keys: DataFrame, counts: np.ndarray, kept: list[DataFrame]) ->
     return out
 
 
-def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray, total: int, weight: float) -> pa.RecordBatch:
-    """Per row: what the tree and the frequent tokens give, and the other tokens' hashes for the join."""
-    logs, shares = np.log10(counts + 0.5), (1 - weight) * counts / max(1, total)
+def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Per row: what the tree says, what the frequent tokens give to the base, and the other tokens' hashes for the join."""
+    logs = np.log10(counts + 0.5)
     windows, begins, words, row = symbols(*K.buffer_of(batch.column("text")))
     by_token, rows = np.add.reduceat(value_of(windows), begins), batch.num_rows
     at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
     hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
     base = np.bincount(row[hit], logs[at[hit]], rows)
-    score = np.bincount(row[hit], np.log10(shares[at[hit]] + weight * 10.0 ** by_token[hit]), rows) if hit.any() else np.zeros(rows)
     known = np.bincount(row[hit], minlength=rows)
-    rest, owner, alone = words[~hit], row[~hit], by_token[~hit].astype(np.float32)
-    order = np.lexsort((alone, rest, owner))
-    rest, owner, alone = rest[order], owner[order], alone[order]
-    # A token's tree value depends on what precedes it.
-    new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]) | (alone[1:] != alone[:-1]))) if len(rest) else np.zeros(0, np.int64)
+    rest, owner = words[~hit], row[~hit]
+    order = np.lexsort((rest, owner))
+    rest, owner = rest[order], owner[order]
+    new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
     times = np.diff(np.append(new, len(rest))).astype(np.int32)
     lists = pa.array(np.searchsorted(owner[new], np.arange(rows + 1)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
         [
-            *[batch.column(c) for c in ("rid", "doc_id", "held_out")], pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.bincount(row, by_token, rows)),
-            *[pa.ListArray.from_arrays(lists, pa.array(x)) for x in (rest[new], times, alone[new])],
+            *[batch.column(c) for c in ("rid", "doc_id", "held_out")], pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.bincount(row, by_token, rows)),
+            *[pa.ListArray.from_arrays(lists, pa.array(x)) for x in (rest[new], times)],
         ],
-        names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tree_score", "rest", "times", "alone"],
+        names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "times"],
     )
 
 
-def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, total: int, weight: float, schema: str) -> DataFrame:
+def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, schema: str) -> DataFrame:
     """The rows' scores by a tree that every executor holds."""
     shared = rows.sparkSession.sparkContext.broadcast((tree, keys, counts))
 
@@ -290,12 +294,12 @@ def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndar
             return value
 
         for batch in K.slices(batches, "text", 2_000_000):
-            yield _score(batch, value_of, keys, counts, total, weight)
+            yield _score(batch, value_of, keys, counts)
 
     return rows.mapInArrow(run, schema)
 
 
-def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]], keys: np.ndarray, counts: np.ndarray, total: int, weight: float, id_type: str, schema: str) -> DataFrame:
+def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]], keys: np.ndarray, counts: np.ndarray, id_type: str, schema: str) -> DataFrame:
     """The same by tables: rows in parts of about a megabyte; each part's distinct windows fetch their values."""
     shared = rows.sparkSession.sparkContext.broadcast((keys, counts))
 
@@ -318,7 +322,7 @@ def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]],
         order = np.argsort(own)
         own, value = own[order], value[order]
         batch = texts.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches([_score(batch, lambda w: value[np.searchsorted(own, w)], keys, counts, total, weight)])
+        return pa.Table.from_batches([_score(batch, lambda w: value[np.searchsorted(own, w)], keys, counts)])
 
     texts = materialize(rows.mapInArrow(parts, f"part long, rid long, doc_id {id_type}, text string, held_out boolean"), "parts")
     asked = materialize(texts.select("part", "text").mapInArrow(distinct, "part long, key long").distinct(), "windows")  # batches may cut a part
@@ -328,39 +332,37 @@ def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]],
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, tree_score (the tree alone) for every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (the tree's) for every document.
 
     Training are the documents whose crc32 of the id as text, modulo ``folds``, isn't ``fold``. A null text counts as
     empty (its end is its only token), a null id as an empty one. Ids and rows may repeat: each counts. Other columns
     are ignored; an empty table gives no rows, and without training documents all symbols are equally likely.
     """
+    bounded_batches(docs.sparkSession)
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     counted = count_all(rows.where(~F.col("held_out")).select("text"))
-    words = counted.where("kind = 0").select("key", "n")
-    total, distinct, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
-    weight = min(0.9, max(1e-3, once / total)) if total else 1.0
+    words = materialize(counted.where("kind = 0").select("key", "n"), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     levels = candidates(counted)
     frequent = words.where(F.col("n") * FREQUENT >= total).toArrow()
     order = np.argsort(keys := frequent["key"].to_numpy())
-    schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tree_score double, rest array<long>, times array<int>, alone array<float>"
+    schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, times array<int>"
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    lookup = (keys[order], frequent["n"].to_numpy()[order], total, weight)
+    lookup = (keys[order], frequent["n"].to_numpy()[order])
     tree = fit(levels)
     if sum(level.count() for level in tree[1]) <= TREE_ROWS:
         scored = _scored(rows, in_memory(*tree), *lookup, schema)
     else:
         scored = _scored_by_joins(rows, tree, *lookup, id_type, schema)
     scored = materialize(scored, "scored")  # fixes rid
-    rest = scored.select("rid", F.explode(F.arrays_zip("rest", "times", "alone")).alias("w")).select("rid", F.col("w.rest").alias("key"), F.col("w.times").alias("times"), F.col("w.alone").alias("alone"))
+    rest = scored.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("rid", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
     seldom = words.where(F.col("n") * FREQUENT < total)
     found = rest.join(seldom.hint("merge"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    mixed = F.col("n") * F.lit((1 - weight) / max(1, total)) + F.lit(weight) * F.pow(F.lit(10.0), F.col("alone").cast("double"))
-    unseen = F.lit(float(np.log10(weight))) + F.col("alone")  # its power of ten may be too small to hold
-    found = found.select("rid", (F.col("times") * F.log10(F.col("n") + 0.5)).alias("base"), (F.col("times") * F.when(F.col("n") > 0, F.log10(mixed)).otherwise(unseen)).alias("score"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
-    found = found.groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("more_known"))
+    found = found.select("rid", (F.col("times") * F.log10(F.col("n") + 0.5)).alias("base"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"))
+    found = found.groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     more = lambda c, zero: F.col(c) + F.coalesce(f"more_{c}", F.lit(zero))
-    out = scored.drop("rest", "times", "alone").join(found, "rid", "left")
-    return out.select("doc_id", "held_out", "n_tokens", more("known", 0).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (more("base", 0.0) - F.col("n_tokens") * norm).alias("base_score"), more("score", 0.0).alias("score"), "tree_score")
+    out = scored.drop("rest", "times").join(found, "rid", "left")
+    return out.select("doc_id", "held_out", "n_tokens", more("known", 0).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (more("base", 0.0) - F.col("n_tokens") * norm).alias("base_score"), "score")

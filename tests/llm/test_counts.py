@@ -71,7 +71,7 @@ def test_base_scores(make, none, odd):
         x, own = found[i], tokens(t)
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(own), sum(c[w] > 0 for w in own), total)
         assert x.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in own))
-        assert x.score < 0 and x.tree_score < 0
+        assert x.score < 0
     assert M.score_documents(none).count() == 0
     assert M.score_documents(odd).count() == odd.count()
 
@@ -108,7 +108,7 @@ def test_held_out_beats_unigrams_of_letters(make):
     found = [x for x in M.score_documents(make(texts)).collect() if x.held_out]
     c = Counter("".join(texts))
     flat = sum(math.log10(c[ch] / c.total()) for x in found for ch in texts[x.doc_id])
-    assert sum(x.tree_score for x in found) > 0.7 * flat
+    assert sum(x.score for x in found) > 0.7 * flat
 
 
 def greedy(sizes, capacity):

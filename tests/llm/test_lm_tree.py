@@ -10,7 +10,7 @@ def test_contexts_run_over_word_ends(make):
     ring = ["un", "deux", "trois", "quatre"]
     texts = {i: " ".join(ring[(i + k) % 4] for k in range(40)) for i in range(60)}
     texts[100], texts[101] = " ".join(ring * 10), " ".join(ring[::-1] * 10)
-    found = {x.doc_id: x.tree_score for x in M.score_documents(make(list(texts.items()))).collect()}
+    found = {x.doc_id: x.score for x in M.score_documents(make(list(texts.items()))).collect()}
     assert found[100] > found[101] + 5
 
 
@@ -31,7 +31,7 @@ def test_tree_by_joins(make, monkeypatch):
     r = random.Random(10)
     texts = [" ".join(r.choice(["the", "of", "Tion", "edé"]) + r.choice(["", str(r.randint(0, 9))]) for _ in range(r.randint(0, 200))) for _ in range(150)]
     texts += ["", None, "never seen"]
-    shown = lambda: {x.doc_id: (round(x.base_score, 5), round(x.score, 2), round(x.tree_score, 4)) for x in M.score_documents(make(texts)).collect()}
+    shown = lambda: {x.doc_id: (round(x.base_score, 5), round(x.score, 4)) for x in M.score_documents(make(texts)).collect()}
     a = shown()
     monkeypatch.setattr(M, "TREE_ROWS", 0)
     assert shown() == a
