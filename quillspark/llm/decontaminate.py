@@ -54,7 +54,7 @@ def _whole_grams(w: Column, n: int) -> Column:
 
 
 def match(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str, item_col: str, item_text_col: str, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): rows has doc_id, rid, n_words for every document; hits has doc_id, rid, n_hit, n_items, items for those hit."""
+    """(rows, hits): rows has doc_id, rid, n_words for every document; hits has doc_id, rid, n_hit, n_items, items, by_span (by a window of ``span`` words) for those hit."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
     items = materialize(items.where("item is not null").dropDuplicates(), "benchmark-items")
     # An item's windows: those of ``span`` words, or the item itself.
@@ -87,7 +87,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str,
     grams = grams.select("doc_id", "rid", "x.n", F.explode("x.g").alias("g")).select("doc_id", "rid", "n", "g.at", "g.key")
     met = grams.join(keyed, ["n", "key"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("at", "n")).alias("spots"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    hits = met.select("doc_id", "rid", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"))
+    hits = met.select("doc_id", "rid", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), F.exists("spots", lambda s: s["n"] == span).alias("by_span"))
     return rows.drop("suspect"), hits
 
 
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     documents gives no rows, an empty benchmark hits nothing. ``contaminated``: a twentieth of the words or more are hit.
     """
     rows, hits = match(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, **options)
-    hits = materialize(hits.withColumnsRenamed({"doc_id": "__d", "rid": "__r"}), "decontaminate-hits")
+    hits = materialize(hits.drop("by_span").withColumnsRenamed({"doc_id": "__d", "rid": "__r"}), "decontaminate-hits")
     copies = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"))
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("rid") == F.col("__r"))
     rows = copies.join(rows.select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r"), "n_words"), same).drop("__d", "__r")
@@ -110,12 +110,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns and rows; texts are not shuffled unless very many are."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", any_window: bool = False, **options) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns and rows; texts are not shuffled unless very many are.
+
+    With ``any_window`` one window of ``span`` words is enough, however long the document; items of fewer words, which
+    may be common phrases, still count by their share only.
+    """
     rows, hits = match(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, **options)
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("rid") == F.col("__r"))
     hits = hits.withColumnsRenamed({"doc_id": "__d", "rid": "__r"})
-    found = rows.join(hits, same).where(20 * F.col("n_hit") >= F.col("n_words")).select("__d", "__r")
+    leaks = 20 * F.col("n_hit") >= F.col("n_words")
+    found = rows.join(hits, same).where(leaks | F.col("by_span") if any_window else leaks).select("__d", "__r")
     found = broadcast_if_small(materialize(found, "contaminated"))
     keyed = docs.withColumn("__rid", row_key(F.col(id_col), F.col(text_col)))
     return keyed.join(found, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__rid") == F.col("__r")), "left_anti").select(*docs.columns)

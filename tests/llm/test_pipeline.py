@@ -49,6 +49,19 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {x.doc_id for x in packed} == want and mask_secrets(clean).columns == columns
 
 
+def test_leaks_in_long_documents_go(spark, tmp_path):
+    """A passage that is a hundredth of its document; a short item, which long documents may quote, goes by its share."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9)))
+    items = [(0, " ".join(word() for _ in range(30))), (1, "common phrase here")]
+    long = [word() for _ in range(1300)]
+    passage = items[0][1].split()
+    docs = [(0, long), (1, [*long[:700], *passage[5:18], *long[700:]]), (2, [*long[:700], *passage[5:17], *long[700:]]), (3, [*long, *items[1][1].split()]), (4, [*long[:20], *items[1][1].split()])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = P.decontamination(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), str(tmp_path))
+    assert {x.doc_id for x in clean.collect()} == {0, 2, 3}
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
