@@ -42,6 +42,8 @@ BANDS, ROWS = 40, 8
 SIMILAR = 80
 #: Rows of one pivot or one text beyond which they are spread over tasks.
 HOT = 5_000
+#: Units of one pivot's members beyond which they are spread over tasks.
+HOT_UNITS = 4_000_000
 #: Buckets of so many members that follow from a pivot are compared as they are, as are those far from their pivot.
 SMALL = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -246,6 +248,46 @@ def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int)
     return out
 
 
+def _by_unit(near: DataFrame) -> DataFrame:
+    """bucket, doc, deg, label, c, only: a bucket for each unit that members of two classes have and their pivot has not.
+
+    A pivot's members meet in one task (in one for each HOT_UNITS units, dealt by unit, if they have more), which counts
+    the units, so that only those in question become rows.
+    """
+    more = near.groupBy("pivot", "ph").agg(F.floor(F.sum(F.size("added")) / HOT_UNITS).cast("int").alias("more")).where("more > 0")
+    rows = near.select("pivot", "ph", "doc", "deg", "label", "c", "only", "added", F.lit(0).alias("slot"))
+    more = materialize(more, "hot-units")
+    if not more.isEmpty():
+        slots = rows.drop("slot").join(broadcast_if_small(more), ["pivot", "ph"], "left").withColumn("more", F.coalesce("more", F.lit(0)) + 1)
+        slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("more") - 1)))
+        rows = slots.withColumn("added", F.filter("added", lambda u: F.pmod(u, F.col("more")) == F.col("slot"))).drop("more").where(F.size("added") > 0)
+    names = ["doc", "deg", "label", "c", "only"]
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        columns = {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in parts]) for n in ("pivot", "ph", *names)}
+        units = np.concatenate([b.column("added").flatten().to_numpy(zero_copy_only=False) for b in parts])
+        if not len(units):
+            return
+        owner = np.repeat(np.arange(len(columns["doc"])), np.concatenate([np.diff(b.column("added").offsets.to_numpy()) for b in parts]))
+        of = K.mix(K.mix(columns["pivot"].view(np.uint64)) + columns["ph"].view(np.uint64))
+        key = K.mix(of[owner] + _STEP * (units.view(np.uint32).astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        label = columns["label"][owner]
+        mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+        kept = np.repeat(mixed, np.diff(np.append(first, len(key))))
+        key, owner = key[kept].view(np.int64), owner[kept]
+        for k in range(0, len(key), 100_000):
+            some = owner[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), *[pa.array(columns[n][some]) for n in names]], names=["bucket", *names])
+
+    return rows.repartition("pivot", "ph", "slot").drop("slot").mapInArrow(run, "bucket long, doc long, deg long, label long, c long, only long")
+
+
 def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFrame:
     """bucket, size, doc, deg, label, c, only (units that the pivot has not): where members can still be linked to each other, given what they share with their pivot.
 
@@ -259,7 +301,7 @@ def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFr
     near = near.join(broadcast_if_small(materialize(mixed, "open-pivots")), ["pivot", "ph"])
     near = near.withColumns({"linked": _shares(F.col("c"), F.col("n") + F.col("pn"), similar), "reach": F.col("c") * (100 + similar) / similar - F.col("n"), "bin": F.floor(1024 * F.col("c") / F.col("pn")), "only": F.col("n") - F.col("c")})
     near = materialize(near, "open")
-    by_unit = near.select("pivot", "ph", F.explode("added").alias("unit"), "doc", "deg", "label", "c", "only").select(F.xxhash64(F.lit(1), "pivot", "ph", "unit").alias("bucket"), "doc", "deg", "label", "c", "only")
+    by_unit = _by_unit(near)
     # Without such a unit: the member with fewer units of the pivot reaches the other's size.
     of = lambda c, linked: F.when(F.col("linked") == linked, F.col(c))
     bins = near.groupBy("pivot", "ph", "bin").agg(*[agg(of(c, linked)).alias(f"{c}_{linked}".lower()) for c, agg in (("reach", F.max), ("n", F.min)) for linked in (True, False)])
@@ -281,19 +323,25 @@ def _uid(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), kept (it is that document).
 
     A class holds all documents that links of ``similar`` hundredths or more connect. Texts without words form a class
     with equal texts only; a null text is alone. A null id takes part under a negative number made of its text; rows of
-    one id are in one class. Other columns are ignored; an empty table gives no rows.
+    one id are in one class. Other columns are ignored; an empty table gives no rows. ``options`` as in :func:`_classified`.
     """
+    return _classified(docs, **options).drop("uid")
+
+
+def _classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """:func:`near_duplicates` with uid, the id that a row takes part under."""
     text = F.col(text_col)
     named = docs.select(F.col(id_col).alias("doc_id"), _uid(id_col, text_col).alias("uid"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     filled = named.where("text is not null")
     texts = materialize(filled.groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "texts")
-    one = broadcast_if_small(texts.select("h1", "h2", F.col("rep").alias("uid")))
-    first = filled.join(one, ["h1", "h2", "uid"], "left_semi").select("uid", "h1", "h2", "text")
+    # Only texts with copies are looked up: most have none, and theirs need not be shuffled.
+    copied = broadcast_if_small(materialize(texts.where("copies > 1").select("h1", "h2", "rep"), "copied"))
+    first = filled.join(copied, ["h1", "h2"], "left").where("rep is null or rep = uid").select("uid", "h1", "h2", "text")
     sigs = materialize(_band_rows(first, bands, rows), "bands")
     repeated = sigs.count() > texts.count()  # rows that are equal to their text's first in id and text
     if repeated:
@@ -341,8 +389,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     seldom = least.where(F.col("copies") <= HOT).select("h1", "h2", "class")
     rest = out.where("often is null").drop("often").join(broadcast_if_small(seldom), ["h1", "h2"])
     out = rest.unionByName(out.where("often is not null").withColumnRenamed("often", "class"))
-    out = out.select("doc_id", F.col("class").alias("class_id"), (F.col("uid") == F.col("class")).alias("kept"))
-    return out.unionByName(named.where("not filled").select("doc_id", F.col("uid").alias("class_id"), F.lit(True).alias("kept")))
+    out = out.select("doc_id", F.col("class").alias("class_id"), (F.col("uid") == F.col("class")).alias("kept"), "uid")
+    return out.unionByName(named.where("not filled").select("doc_id", F.col("uid").alias("class_id"), F.lit(True).alias("kept"), "uid"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -350,12 +398,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts stay, each under its id; columns of any name pass through as they are; an empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("class_id")
-    found = materialize(found, "kept")
-    once = found.distinct()
+    found = materialize(_classified(docs, id_col=id_col, text_col=text_col, **options).select("uid", "kept"), "kept")
+    kept = found.where("kept").select("uid")
+    gone = materialize(found.where("not kept").select("uid").distinct().join(kept, "uid", "left_anti"), "gone")
     uid = unused(docs, "uid")
     rows = docs.withColumn(uid, _uid(id_col, text_col))
-    rows = rows.join(broadcast_if_small(once.withColumnRenamed("class_id", uid)), uid, "left_semi")
-    if found.count() > once.count():
+    rows = rows.join(broadcast_if_small(gone.withColumnRenamed("uid", uid)), uid, "left_anti")  # those that go are fewer than those that stay
+    if kept.count() > kept.distinct().count():
         rows = rows.dropDuplicates([uid])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -146,3 +146,17 @@ def test_components(spark):
     found = N.components(spark.createDataFrame(edges, "a long, b long")).collect()
     roots = {r.node: r.root for r in found}
     assert len({roots[i] for i in range(201)}) == 1 and len({roots[1000 + k] for k in range(300)}) == 1 and len(set(roots.values())) == 2
+
+
+def test_only_units_in_question_become_rows(spark, monkeypatch):
+    """A pivot's members with units of their own: rows for those that two classes share, also when spread over tasks."""
+    r = random.Random(24)
+    rows = [(1, 5, d, 1, d % 3, 9, 9, [r.randint(-(2**31), 2**31 - 1) for _ in range(30)] + [d % 4, 100 + d % 3]) for d in range(200)]
+    near = spark.createDataFrame(rows, "pivot long, ph long, doc long, deg long, label long, c long, only long, added array<int>")
+    for most in (N.HOT_UNITS, 1000):
+        monkeypatch.setattr(N, "HOT_UNITS", most)
+        found = N._by_unit(near).collect()
+        groups = {}
+        for x in found:
+            groups.setdefault(x.bucket, set()).add(x.doc)
+        assert len(found) == 200 and sorted(map(sorted, groups.values())) == [list(range(k, 200, 4)) for k in range(4)]
