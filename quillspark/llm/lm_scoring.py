@@ -37,6 +37,8 @@ END_KEY = np.uint64(1)
 #: Counts that a task holds before it sends them on.
 HELD = 6_000_000
 MEMO = 1 << 20
+#: Context symbols that a window is first looked up by.
+SHORT = 5
 
 
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 2)], np.uint64).view(np.int64)
@@ -169,6 +171,43 @@ class SuffixTree:
         return self.look_up(self.longest(keys >> 8 & _KEEP[DEPTH], DEPTH), keys & 255)
 
 
+class Memo:
+    """Windows' scores by a tree, remembered. Windows whose last SHORT context symbols no longer retained context ends
+    in have the same score as all others with these, so they are remembered by these and the symbol."""
+
+    def __init__(self, tree: SuffixTree):
+        self.tree = tree
+        self.deep = np.unique(tree.codes[tree.codes >> 8 * DEPTH > SHORT] & _KEEP[SHORT])
+        self.held = [(np.full(MEMO, -1, np.int64), np.zeros(MEMO)) for _ in range(2)]
+
+    def __call__(self, windows: np.ndarray) -> np.ndarray:
+        out = self._through(0, windows & _KEEP[SHORT + 1], self._short)
+        deep = np.flatnonzero(np.isnan(out))
+        out[deep] = self._through(1, windows[deep], self.tree.window_scores)
+        return out
+
+    def _short(self, keys: np.ndarray) -> np.ndarray:
+        """NaN where a longer context may count."""
+        out = self.tree.window_scores(keys)
+        if len(self.deep):
+            at = np.minimum(np.searchsorted(self.deep, keys >> 8), len(self.deep) - 1)
+            out[self.deep[at] == keys >> 8] = np.nan
+        return out
+
+    def _through(self, k: int, keys: np.ndarray, scores) -> np.ndarray:
+        memo, held = self.held[k]
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        value = held[slot]
+        miss = np.flatnonzero(memo[slot] != keys)
+        if len(miss):
+            fresh, at = np.unique(keys[miss], return_inverse=True)
+            value[miss] = scores(fresh)[at]
+            memo[slot[miss]] = keys[miss]
+            own = miss[memo[slot[miss]] == keys[miss]]  # of several for one slot the last stays
+            held[slot[own]] = value[own]
+        return value
+
+
 def _suffix(c: Column | str, depth: int) -> Column:
     return (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit((1 << 8 * depth) - 1))
 
@@ -279,19 +318,7 @@ def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndar
 
     def run(batches):
         tree, keys, counts = shared.value
-        memo, held = np.full(MEMO, -1, np.int64), np.zeros(MEMO)
-
-        def value_of(windows):
-            slot = ((windows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-            value = held[slot]
-            miss = np.flatnonzero(memo[slot] != windows)
-            if len(miss):
-                fresh, at = np.unique(windows[miss], return_inverse=True)
-                value[miss] = tree.window_scores(fresh)[at]
-                memo[slot[miss]] = windows[miss]
-                own = miss[memo[slot[miss]] == windows[miss]]  # of several for one slot the last stays
-                held[slot[own]] = value[own]
-            return value
+        value_of = Memo(tree)
 
         for batch in K.slices(batches, "text", 2_000_000):
             yield _score(batch, value_of, keys, counts)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quillspark.llm import lm_scoring as M
 
 
@@ -35,3 +37,23 @@ def test_tree_by_joins(make, monkeypatch):
     a = shown()
     monkeypatch.setattr(M, "TREE_ROWS", 0)
     assert shown() == a
+
+
+def test_windows_without_longer_contexts_share_a_look_up():
+    """Remembered scores equal the tree's; of windows that differ only before what the tree knows, one is looked up."""
+    r = np.random.default_rng(11)
+    levels = []
+    for depth in range(1, M.DEPTH + 1):  # "a"s before "a" or "b": each depth tells more
+        context = np.full(2, sum(97 << 8 * k for k in range(depth)), np.int64)
+        levels.append((context, np.array([97, 98]), np.array([10_000 // 3**depth + 9, 10_000 - 10_000 // 3**depth])))
+    tree = M.SuffixTree(np.bincount([97, 98], [5000, 5000], 256).astype(np.int64), levels)
+    assert (tree.codes >> 8 * M.DEPTH > M.SHORT).any()
+    some = np.array([0, 97, 97, 97, 97, 97, 98, 255], np.uint8)[r.integers(0, 8, (20_000, 8))]
+    some[::2, 2:] = some[0, 2:]  # many that differ in what comes first
+    windows = np.ascontiguousarray(some[:, ::-1]).view(np.int64).ravel()
+    asked, look_up = [], tree.window_scores
+    tree.window_scores = lambda keys: asked.append(len(keys)) or look_up(keys)
+    memo = M.Memo(tree)
+    for _ in range(2):
+        assert np.array_equal(memo(windows), look_up(windows))
+    assert sum(asked) < len(np.unique(windows)) * 0.9
