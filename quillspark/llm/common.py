@@ -33,11 +33,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, a folder for each value of ``by``, and read it again: cuts the
+    lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["stored_at"] = path
     return out

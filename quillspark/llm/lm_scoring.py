@@ -36,8 +36,11 @@ END, BLANK = 10, 32
 END_KEY = np.uint64(1)
 #: Counts that a task holds before it sends them on.
 HELD = 6_000_000
-MEMO = 1 << 20
-#: Context symbols that a window is first looked up by.
+#: Counts go to reducers by buckets of the hashes of words, or of this many context symbols: longer contexts that share
+#: them meet in one bucket.
+BUCKETS = 1 << 12
+NEAR = 4
+#: Contexts of more symbols than this count as deep.
 SHORT = 5
 
 
@@ -57,17 +60,17 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sizes[word_at] = ends - starts + 1
     begins = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
-    out = np.full(total, BLANK, np.uint8)
+    padded = np.full(DEPTH + total, BLANK, np.uint8)
+    out = padded[DEPTH:]
     out[begins[end_at]] = END
     if words:
         lengths = ends - starts
         out[np.repeat(begins[word_at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = data[~K.SPACE[data]]
-    windows = np.zeros(total, np.int64)
-    for k in range(DEPTH + 1):
-        windows[k:] |= out[: total - k].astype(np.int64) << (8 * k)
-    ends_at = begins[end_at] + 1
-    inside = np.minimum(np.arange(total) - np.repeat(np.append(0, ends_at[:-1]), np.diff(ends_at, prepend=0)) + 1, DEPTH + 1)  # symbols of the text so far
-    windows = (windows & _KEEP[inside]) | _FILL[inside]
+    windows = np.ndarray(total, ">i8", padded, 0, (1,)).astype(np.int64)  # from each byte on, the last one lowest
+    texts = np.append(0, begins[end_at][:-1] + 1)
+    for inside in range(1, DEPTH + 1):  # so many symbols of the text so far
+        at = texts[begins[end_at] - texts >= inside - 1] + inside - 1
+        windows[at] = windows[at] & _KEEP[inside] | _FILL[inside]
     keys = np.full(words + rows, END_KEY, np.uint64)
     keys[word_at] = K.word_hashes(data, starts, ends)
     row = np.empty(words + rows, np.int64)
@@ -75,20 +78,30 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return windows, begins, keys.view(np.int64), row
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """kind (0 words, 1 windows), key, n: counts over the rows, added up per task as far as memory allows."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = _runs(keys)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
 
-    def merged(parts):
-        keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], np.add.reduceat(n, at) if len(at) else n
+def _counted(docs: DataFrame) -> DataFrame:
+    """bucket (those of words after those of windows), keys, n (64-bit numbers): counts over the rows, added up per
+    task as far as memory allows. All windows whose contexts end in the same NEAR symbols are in one bucket."""
 
     def sent(kind, keys, n):
-        for k in range(0, len(keys), 100_000):
-            part = keys[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[k : k + 100_000])], names=["kind", "key", "n"])
+        bucket = (K.mix(keys >> 8 & _KEEP[NEAR] if kind else keys) & np.uint64(BUCKETS - 1)).astype(np.int16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, n = bucket[order], keys[order], n[order]
+        at = np.append(_runs(bucket), len(bucket))
+        for k in range(0, len(at) - 1, 256):
+            cuts = at[k : k + 257]
+            low, high = cuts[0], cuts[-1]
+            offsets = pa.py_buffer((8 * (cuts - low)).astype(np.int32))
+            lists = [pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(x[low:high])]) for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32) + (0 if kind else BUCKETS)), *lists], names=["bucket", "keys", "n"])
 
     def run(batches):
         held: list[list] = [[], []]
@@ -98,15 +111,74 @@ def _counted(docs: DataFrame) -> DataFrame:
                 keys, n = np.unique(keys, return_counts=True)
                 held[kind].append((keys, n.astype(np.int64)))
                 if sum(len(k) for k, _ in held[kind]) > HELD:
-                    held[kind] = [merged(held[kind])]
+                    held[kind] = [_merged(held[kind])]
                     if len(held[kind][0][0]) > HELD // 2:
                         yield from sent(kind, *held[kind][0])
                         held[kind] = []
         for kind in (0, 1):
             if held[kind]:
-                yield from sent(kind, *merged(held[kind]))
+                yield from sent(kind, *_merged(held[kind]))
+
+    return docs.mapInArrow(run, "bucket int, keys binary, n binary")
 
-    return docs.mapInArrow(run, "kind int, key long, n long")
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """kind (0 words, else 1 + the depth of a context), key, n from whole buckets: all words, all windows of NEAR
+    context symbols, and those of more whose context LEAST_COUNT symbols follow."""
+
+    def rows(kind, keys, n):
+        for k in range(0, len(keys), 100_000):
+            part = keys[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[k : k + 100_000])], names=["kind", "key", "n"])
+
+    def levels(keys, n):
+        for d in range(DEPTH, NEAR - 1, -1):
+            if d < DEPTH:
+                keys, n = _merged([(keys & _KEEP[d + 1], n)])
+            order = np.argsort(context := keys >> 8 & _KEEP[d])
+            new = _runs(context[order])
+            follow = np.add.reduceat(n[order], new)
+            often = np.repeat(follow >= (LEAST_COUNT if d > NEAR else 0), np.diff(np.append(new, len(keys))))
+            yield from rows(1 + d, keys[order][often], n[order][often])
+
+    def run(batches):
+        held, last, most = [], -1, HELD
+
+        def done():
+            if held:
+                found = _merged(held)
+                yield from levels(*found) if last < BUCKETS else rows(0, *found)
+
+        for batch in batches:
+            for bucket, *pair in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("n"), strict=True):
+                size = sum(len(k) for k, _ in held)
+                if bucket != last and (size > HELD // 4 or (bucket < BUCKETS) != (last < BUCKETS)):
+                    yield from done()
+                    held, size, most = [], 0, HELD
+                last = bucket
+                held.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in pair))
+                if size + len(held[-1][0]) > most:
+                    held = [_merged(held)]
+                    most = max(HELD, 2 * len(held[0][0]))
+        yield from done()
+
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, key long, n long")
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _each_distinct(keys: np.ndarray, found) -> np.ndarray:
+    """What ``found`` gives for the distinct keys, in order, for every key."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = _runs(own)
+    values = found(own[new])
+    out = np.empty(len(keys), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(new, len(keys))))
+    return out
 
 
 class SuffixTree:
@@ -172,40 +244,55 @@ class SuffixTree:
 
 
 class Memo:
-    """Windows' scores by a tree, remembered. Windows whose last SHORT context symbols no longer retained context ends
-    in have the same score as all others with these, so they are remembered by these and the symbol."""
+    """Windows' scores by a tree, from sorted pieces that are made once.
+
+    With a window's bytes turned round (the symbol first, then its context from the nearest on), the windows of a
+    retained context and symbol are one span of numbers, and so are the contexts with a retained suffix. Spans nest or
+    are apart, so their bounds part all windows into pieces: one search finds the deepest entry, another the longest
+    retained suffix. Sums go the way of :meth:`SuffixTree.look_up`, so scores are the same to the last bit.
+    """
 
     def __init__(self, tree: SuffixTree):
-        self.tree = tree
-        self.deep = np.unique(tree.codes[tree.codes >> 8 * DEPTH > SHORT] & _KEEP[SHORT])
-        self.held = [(np.full(MEMO, -1, np.int64), np.zeros(MEMO)) for _ in range(2)]
+        turned = lambda context: context.astype(np.uint64).byteswap() >> np.uint64(8)
+        depth, context = tree.codes >> 8 * DEPTH, turned(tree.codes & _KEEP[DEPTH])
+        self.parent, self.backoff = tree.parent.astype(np.int32), tree.backoff
+        self.contexts, self.longest = _pieces(context, depth)
+        state = tree.entries >> 8
+        self.windows, entry = _pieces(tree.entries.astype(np.uint64) << np.uint64(8 * DEPTH) | context[state], depth[state])
+        self.values, self.owners = tree.values[entry], state.astype(np.int32)[entry]
 
     def __call__(self, windows: np.ndarray) -> np.ndarray:
-        out = self._through(0, windows & _KEEP[SHORT + 1], self._short)
-        deep = np.flatnonzero(np.isnan(out))
-        out[deep] = self._through(1, windows[deep], self.tree.window_scores)
+        return _each_distinct(windows.view(np.uint64).byteswap(), self._scores)
+
+    def _scores(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.windows, keys, "right") - 1
+        out, owner = self.values[at], self.owners[at]
+        state = self.longest[np.searchsorted(self.contexts, keys & _KEEP.view(np.uint64)[DEPTH], "right") - 1]
+        more = np.flatnonzero(state != owner)  # the longest suffix never saw the symbol
+        state, owner, added, todo = state[more], owner[more], np.zeros(len(more)), np.arange(len(more))
+        while len(todo):
+            added[todo] += self.backoff[state[todo]]
+            state[todo] = self.parent[state[todo]]
+            todo = todo[state[todo] != owner[todo]]
+        out[more] += added
         return out
 
-    def _short(self, keys: np.ndarray) -> np.ndarray:
-        """NaN where a longer context may count."""
-        out = self.tree.window_scores(keys)
-        if len(self.deep):
-            at = np.minimum(np.searchsorted(self.deep, keys >> 8), len(self.deep) - 1)
-            out[self.deep[at] == keys >> 8] = np.nan
-        return out
 
-    def _through(self, k: int, keys: np.ndarray, scores) -> np.ndarray:
-        memo, held = self.held[k]
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        value = held[slot]
-        miss = np.flatnonzero(memo[slot] != keys)
-        if len(miss):
-            fresh, at = np.unique(keys[miss], return_inverse=True)
-            value[miss] = scores(fresh)[at]
-            memo[slot[miss]] = keys[miss]
-            own = miss[memo[slot[miss]] == keys[miss]]  # of several for one slot the last stays
-            held[slot[own]] = value[own]
-        return value
+def _pieces(start: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, which): where pieces begin, and the deepest of the spans that hold a piece. A span is all numbers from
+    its start that differ in the DEPTH - depth bytes after its depth; the least deep ones leave no gap."""
+    last = start + ((np.uint64(1) << (8 * (DEPTH - depth)).astype(np.uint64)) - np.uint64(1))
+    bounds = np.sort(np.concatenate([start, last + np.uint64(1)]))
+    bounds = bounds[_runs(bounds)]
+    which = np.zeros(len(bounds), np.int32)
+    for d in range(DEPTH + 1):
+        own = np.flatnonzero(depth == d)
+        own = own[np.argsort(start[own])]
+        low = np.searchsorted(bounds, start[own])
+        n = np.searchsorted(bounds, last[own], "right") - low
+        which[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.repeat(own.astype(np.int32), n)
+    new = _runs(which)
+    return bounds[new], which[new]
 
 
 def _suffix(c: Column | str, depth: int) -> Column:
@@ -213,27 +300,20 @@ def _suffix(c: Column | str, depth: int) -> Column:
 
 
 def count_all(docs: DataFrame) -> DataFrame:
-    """kind, key, n, all (symbols after a window's context), written down: one shuffle for both sums."""
-    context = _suffix(F.shiftright("key", 8), DEPTH)
-    each = _counted(docs).repartition("kind", context).select("kind", "key", "n", context.alias("context")).groupBy("kind", "context", "key").agg(F.sum("n").alias("n"))
-    return materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("kind", "context"))).drop("context"), "counts")
+    """kind (0 words, else 1 + the depth of a context), key, n, written down by kind: see :func:`_summed`."""
+    return materialize(_summed(_counted(docs)), "counts", "kind")
 
 
 def candidates(counted: DataFrame) -> list[DataFrame]:
-    """By depth, from 0: context, symbol, n of the contexts that LEAST_COUNT symbols follow (all at depth 0).
-
-    ``counted`` is deleted on the way.
-    """
-    whole = counted.where("kind = 1").select(_suffix(F.shiftright("key", 8), DEPTH).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n", "all")
-    out, last = [], None
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            each = whole.select(_suffix("context", d).alias("context"), "symbol", "n").repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-            whole = materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("context"))), f"contexts-{d}")
-            discard(counted if last is None else last)
-            last = whole
-        out.append(materialize(whole.where(F.col("all") >= (LEAST_COUNT if d else 0)).drop("all"), f"candidates-{d}"))
-    discard(last)
+    """By depth, from 0: context, symbol, n of the contexts that LEAST_COUNT symbols follow (all at depth 0)."""
+    level = lambda d: counted.where(F.col("kind") == 1 + d).select(_suffix(F.shiftright("key", 8), d).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
+    out, whole = [level(d) for d in range(DEPTH, NEAR, -1)], level(NEAR)
+    for d in range(NEAR, -1, -1):
+        if d < NEAR:
+            whole = whole.withColumn("context", _suffix("context", d))
+        each = whole.repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+        whole = materialize(each.withColumn("all", F.sum("n").over(Window.partitionBy("context"))), f"candidates-{d}")
+        out.append(whole.where(F.col("all") >= (LEAST_COUNT if d else 0)).drop("all"))
     return out[::-1]
 
 
@@ -257,7 +337,8 @@ def fit(levels: list[DataFrame]) -> tuple[np.ndarray, list[DataFrame]]:
         each = materialize(each.select("context", "symbol", "n", "kept", F.log10(F.col("kinds") / (F.col("all") + F.col("kinds"))).alias("backoff"), F.when(F.col("kept"), smooth).otherwise(F.col("mean")).alias("mean")), f"tree-{d}")
         known = each.select(F.col("context").alias("suffix"), "symbol", "mean")
         out.append(materialize(each.where("kept").drop("kept"), f"kept-{d}"))
-        discard(level, *([before] if d > 1 else []))
+        if d > 1:
+            discard(before)
         before = each
     if len(levels) > 1:
         discard(before)
@@ -293,7 +374,7 @@ def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBa
     logs = np.log10(counts + 0.5)
     windows, begins, words, row = symbols(*K.buffer_of(batch.column("text")))
     by_token, rows = np.add.reduceat(value_of(windows), begins), batch.num_rows
-    at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+    at = _each_distinct(words, lambda own: np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1)))
     hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
     base = np.bincount(row[hit], logs[at[hit]], rows)
     known = np.bincount(row[hit], minlength=rows)
@@ -314,12 +395,10 @@ def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBa
 
 def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, schema: str) -> DataFrame:
     """The rows' scores by a tree that every executor holds."""
-    shared = rows.sparkSession.sparkContext.broadcast((tree, keys, counts))
+    shared = rows.sparkSession.sparkContext.broadcast((Memo(tree), keys, counts))
 
     def run(batches):
-        tree, keys, counts = shared.value
-        value_of = Memo(tree)
-
+        value_of, keys, counts = shared.value
         for batch in K.slices(batches, "text", 2_000_000):
             yield _score(batch, value_of, keys, counts)
 
@@ -340,7 +419,8 @@ def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]],
             data, part = batch.column("text"), batch.column("part").to_numpy()
             cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
             for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                found = np.unique(symbols(*K.buffer_of(data.slice(a, b - a)))[0])
+                found = np.sort(symbols(*K.buffer_of(data.slice(a, b - a)))[0])
+                found = found[_runs(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part[a])), pa.array(found)], names=["part", "key"])
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:

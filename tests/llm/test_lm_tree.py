@@ -1,8 +1,10 @@
 """The suffix tree: contexts over word ends, growth with the corpus, the same tree by joins."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspark.llm import lm_scoring as M
 
@@ -57,3 +59,50 @@ def test_windows_without_longer_contexts_share_a_look_up():
     for _ in range(2):
         assert np.array_equal(memo(windows), look_up(windows))
     assert sum(asked) < len(np.unique(windows)) * 0.9
+
+
+def test_look_ups_search_pieces():
+    """Scores come from the sorted pieces alone, to the last bit, also of windows that no text has."""
+    r = np.random.default_rng(12)
+    levels = []
+    for depth in range(1, M.DEPTH + 1):
+        context = np.unique(r.choice([97, 98, 255], (40, depth)) @ (1 << 8 * np.arange(depth)))
+        symbol = np.tile([97, 98, 255], len(context))
+        levels.append((np.repeat(context, 3), symbol, r.integers(1, 5000, len(symbol))))
+    tree = M.SuffixTree(np.bincount([97, 98, 255], [5000, 4000, 3000], 256).astype(np.int64), levels)
+    some = r.choice(np.array([97, 98, 255, 0, 10], np.uint8), (50_000, 8), p=[0.4, 0.3, 0.2, 0.05, 0.05])
+    windows = np.append(np.ascontiguousarray(some).view(np.int64).ravel(), r.integers(-(2**63), 2**63 - 1, 1000))
+    want, asked = tree.window_scores(windows), []
+    tree.window_scores = lambda keys: asked.append(len(keys))
+    assert np.array_equal(M.Memo(tree)(windows), want) and not asked
+    assert len(M.Memo(tree)(windows[:0])) == 0
+
+
+@pytest.mark.parametrize("held", [M.HELD, 300])
+def test_counts_go_by_buckets(spark, monkeypatch, held):
+    """Counts equal brute force at every depth, whatever a task holds, and a shuffled row is a bucket, not a window."""
+    r = random.Random(13)
+    texts = [" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 400))) for _ in range(40)] + ["", None, "Odd words"]
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "BUCKETS", 16)
+    words, windows = Counter(), [Counter() for _ in range(M.DEPTH + 1)]
+    for text in texts:
+        own = [w.encode() for w in (text or "").lower().split(" ") if w]
+        words.update([*own, b"\n"])
+        data = b" " * M.DEPTH + b"".join(w + b" " for w in own) + b"\n"
+        for i in range(M.DEPTH, len(data)):
+            for d in range(M.DEPTH + 1):
+                windows[d][data[i - d : i][::-1], data[i]] += 1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    sent = M._counted(docs)
+    assert sent.count() < len(windows[M.DEPTH]) / (20 if held == M.HELD else 1)
+    assert all(0 <= x.bucket < 32 for x in sent.collect())
+    counted = M.count_all(docs)
+    assert sorted(x.n for x in counted.where("kind = 0").collect()) == sorted(words.values())
+    for d, level in enumerate(M.candidates(counted)):
+        follow = Counter()
+        for (context, _), n in windows[d].items():
+            follow[context] += n
+        want = {(int.from_bytes(c, "little"), s): n for (c, s), n in windows[d].items() if not d or follow[c] >= M.LEAST_COUNT}
+        found = level.collect()
+        assert len(found) == len(want) and {(x.context, x.symbol): x.n for x in found} == want
