@@ -7,8 +7,8 @@ candidate if at least ``LEAST_COUNT`` symbols follow it, so the tree grows with
 likelihood ratio of its next-symbol distribution against that of its longest retained suffix outweighs the parameters
 it adds. Distributions are smoothed by that suffix's (Witten-Bell); a symbol is scored by the longest retained suffix
 of what precedes it. The tree is made level by level by joins. Up to ``TREE_ROWS``
-retained counts go to the executors; beyond, windows get their values by shuffled joins. The score of a text is the sum
-over its symbols, its end included.
+retained counts go to the executors as a whole; a larger tree goes there in parts, by spans of contexts, ``AT_ONCE``
+together, and the texts are read again for the next. The score of a text is the sum over its symbols, its end included.
 
 Counts of all tokens are needed for the base alone. Tokens that make up at least ``1 / FREQUENT`` of the
 training tokens (so at most ``FREQUENT`` of them) are looked up on the executors; the others are joined by a shuffle.
@@ -16,20 +16,25 @@ training tokens (so at most ``FREQUENT`` of them) are looked up on the executors
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernels as K
-from .common import bounded_batches, broadcast_if_small, discard, materialize
+from .common import bounded_batches, discard, materialize
 
 #: A window of a symbol and its context is one 64-bit number.
 DEPTH = 7
 LEAST_COUNT = 64
 #: Retained counts (context and symbol) of a tree that is held in memory.
 TREE_ROWS = 4_000_000
+#: Retained counts of each part of a larger one, about, as the driver makes them; and parts that go out together.
+PART_ROWS, AT_ONCE = 2_000_000, 3
 FREQUENT = 1 << 20
 END, BLANK = 10, 32
 #: The end of a text as a token, beside the words' hashes.
@@ -48,9 +53,9 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(DEPTH + 2)], np.uint64).view(n
 _FILL = np.array([sum(BLANK << 8 * i for i in range(k, DEPTH + 1)) for k in range(DEPTH + 2)], np.int64)
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(windows, begins, token keys, row): every symbol with the DEPTH before it as one number; where each token begins
-    among them; tokens in order, the rows' ends with their words."""
+    among them; tokens in order, the rows' ends with their words (all as ends if not ``hashed``)."""
     data = K.LOWER[data]
     starts, ends, first = K.word_bounds(data, offsets)
     rows, words = len(offsets) - 1, len(starts)
@@ -72,7 +77,8 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = texts[begins[end_at] - texts >= inside - 1] + inside - 1
         windows[at] = windows[at] & _KEEP[inside] | _FILL[inside]
     keys = np.full(words + rows, END_KEY, np.uint64)
-    keys[word_at] = K.word_hashes(data, starts, ends)
+    if hashed:
+        keys[word_at] = K.word_hashes(data, starts, ends)
     row = np.empty(words + rows, np.int64)
     row[word_at], row[end_at] = np.repeat(np.arange(rows), np.diff(first)), np.arange(rows)
     return windows, begins, keys.view(np.int64), row
@@ -249,20 +255,32 @@ class Memo:
     With a window's bytes turned round (the symbol first, then its context from the nearest on), the windows of a
     retained context and symbol are one span of numbers, and so are the contexts with a retained suffix. Spans nest or
     are apart, so their bounds part all windows into pieces: one search finds the deepest entry, another the longest
-    retained suffix. Sums go the way of :meth:`SuffixTree.look_up`, so scores are the same to the last bit.
+    retained suffix. Sums go the way of :meth:`SuffixTree.look_up`, so scores are the same to the last bit. Windows
+    whose context, turned round, is not from ``low`` to below ``high`` count 0: the tree may lack what is not there.
     """
 
-    def __init__(self, tree: SuffixTree):
+    def __init__(self, tree: SuffixTree, low: int = 0, high: int = 1 << 8 * DEPTH):
+        self.low, self.high = np.uint64(low), np.uint64(high)
         turned = lambda context: context.astype(np.uint64).byteswap() >> np.uint64(8)
-        depth, context = tree.codes >> 8 * DEPTH, turned(tree.codes & _KEEP[DEPTH])
+        depth, context = (tree.codes >> 8 * DEPTH).astype(np.int8), turned(tree.codes & _KEEP[DEPTH])
         self.parent, self.backoff = tree.parent.astype(np.int32), tree.backoff
         self.contexts, self.longest = _pieces(context, depth)
-        state = tree.entries >> 8
-        self.windows, entry = _pieces(tree.entries.astype(np.uint64) << np.uint64(8 * DEPTH) | context[state], depth[state])
-        self.values, self.owners = tree.values[entry], state.astype(np.int32)[entry]
+        state = (tree.entries >> 8).astype(np.int32)
+        start = tree.entries.astype(np.uint64)
+        start <<= np.uint64(8 * DEPTH)
+        start |= context[state]
+        self.windows, entry = _pieces(start, depth[state])
+        self.values, self.owners = tree.values[entry], state[entry]
 
     def __call__(self, windows: np.ndarray) -> np.ndarray:
-        return _each_distinct(windows.view(np.uint64).byteswap(), self._scores)
+        keys = windows.view(np.uint64).byteswap()
+        context = keys & _KEEP.view(np.uint64)[DEPTH]
+        inside = (context >= self.low) & (context < self.high)
+        if inside.all():
+            return _each_distinct(keys, self._scores)
+        out = np.zeros(len(keys))
+        out[inside] = _each_distinct(keys[inside], self._scores)
+        return out
 
     def _scores(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.windows, keys, "right") - 1
@@ -281,17 +299,23 @@ class Memo:
 def _pieces(start: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, which): where pieces begin, and the deepest of the spans that hold a piece. A span is all numbers from
     its start that differ in the DEPTH - depth bytes after its depth; the least deep ones leave no gap."""
-    last = start + ((np.uint64(1) << (8 * (DEPTH - depth)).astype(np.uint64)) - np.uint64(1))
-    bounds = np.sort(np.concatenate([start, last + np.uint64(1)]))
-    bounds = bounds[_runs(bounds)]
+    widths = np.uint64(1) << (8 * (DEPTH - np.arange(DEPTH + 1))).astype(np.uint64)
+    bounds = np.concatenate([start, start + widths[depth]])
+    bounds.sort()
+    bounds = bounds[np.append(True, bounds[1:] != bounds[:-1])]
     which = np.zeros(len(bounds), np.int32)
-    for d in range(DEPTH + 1):
-        own = np.flatnonzero(depth == d)
+    for d, width in enumerate(widths):
+        own = np.flatnonzero(depth == d).astype(np.int32)
         own = own[np.argsort(start[own])]
-        low = np.searchsorted(bounds, start[own])
-        n = np.searchsorted(bounds, last[own], "right") - low
-        which[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.repeat(own.astype(np.int32), n)
-    new = _runs(which)
+        for k in range(0, len(own), 1 << 14):  # the memory of the driver is small
+            some = own[k : k + (1 << 14)]
+            low, high = np.searchsorted(bounds, start[some]), np.searchsorted(bounds, start[some] + (width - np.uint64(1)), "right")
+            wide = high - low > 256
+            for at, to, x in zip(low[wide], high[wide], some[wide], strict=True):
+                which[at:to] = x
+            low, n, some = low[~wide], (high - low)[~wide], some[~wide]
+            which[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.repeat(some, n)
+    new = np.append(True, which[1:] != which[:-1])
     return bounds[new], which[new]
 
 
@@ -355,18 +379,22 @@ def in_memory(counts: np.ndarray, kept: list[DataFrame]) -> SuffixTree:
     return SuffixTree(counts, found)
 
 
-def window_values(keys: DataFrame, counts: np.ndarray, kept: list[DataFrame]) -> DataFrame:
-    """key, value: the log probability of each distinct window, from the shortest context up."""
-    root = np.log10((counts + 1 / 256) / (counts.sum() + 1.0))
-    symbol = F.col("key").bitwiseAND(255)
-    out = keys.withColumn("value", F.element_at(F.array(*[F.lit(float(v)) for v in root]), (symbol + 1).cast("int")))
-    for d, level in enumerate(kept, 1):
-        level = level.groupBy("context").agg(F.max("backoff").alias("backoff"), F.map_from_entries(F.collect_list(F.struct("symbol", F.log10("mean")))).alias("values"))
-        level = materialize(level, f"nodes-{d}")
-        out = out.withColumn("context", _suffix(F.shiftright("key", 8), d)).join(broadcast_if_small(level, 10_000), "context", "left")
-        value = F.when(F.col("backoff").isNull(), F.col("value")).otherwise(F.coalesce(F.try_element_at("values", symbol), F.col("backoff") + F.col("value")))
-        out = out.select("key", value.alias("value"))
-    return out
+def parts(kept: list[DataFrame]) -> list[tuple[int, int, list[DataFrame]]]:
+    """(low, high, levels): a tree in parts of about PART_ROWS counts, by spans of contexts that are turned round; with
+    each, all retained contexts of which any lies there, so every context comes with its suffixes."""
+
+    def start(d):
+        byte = lambda i: F.shiftleft(F.shiftright("context", 8 * i).bitwiseAND(255), 8 * (DEPTH - 1 - i))
+        return reduce(Column.bitwiseOR, map(byte, range(d)))
+
+    starts = reduce(DataFrame.unionAll, [level.select(start(d).alias("start")) for d, level in enumerate(kept, 1)])
+    n = max(2, -(-starts.count() // PART_ROWS))
+    cuts = starts.agg(F.percentile_approx("start", [k / n for k in range(1, n)], 100_000)).first()[0]
+    cuts = sorted({0, 1 << 8 * DEPTH, *(cuts or [])})
+    return [
+        (low, high, [level.where((start(d) < high) & (start(d) >= low - low % (1 << 8 * (DEPTH - d)))) for d, level in enumerate(kept, 1)])
+        for low, high in zip(cuts, cuts[1:])
+    ]
 
 
 def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -393,49 +421,29 @@ def _score(batch, value_of, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBa
     )
 
 
-def _scored(rows: DataFrame, tree: SuffixTree, keys: np.ndarray, counts: np.ndarray, schema: str) -> DataFrame:
-    """The rows' scores by a tree that every executor holds."""
-    shared = rows.sparkSession.sparkContext.broadcast((Memo(tree), keys, counts))
+def _scored(rows: DataFrame, trees: list[Broadcast], keys: np.ndarray, counts: np.ndarray, schema: str) -> DataFrame:
+    """The rows' scores by a tree, or its first parts, that every executor holds."""
+    shared = rows.sparkSession.sparkContext.broadcast((keys, counts))
 
     def run(batches):
-        value_of, keys, counts = shared.value
         for batch in K.slices(batches, "text", 2_000_000):
-            yield _score(batch, value_of, keys, counts)
+            yield _score(batch, lambda windows: sum(tree.value(windows) for tree in trees), *shared.value)
 
-    return rows.mapInArrow(run, schema)
+    out = materialize(rows.mapInArrow(run, schema), "scored")  # fixes rid
+    shared.destroy()
+    return out
 
 
-def _scored_by_joins(rows: DataFrame, tree: tuple[np.ndarray, list[DataFrame]], keys: np.ndarray, counts: np.ndarray, id_type: str, schema: str) -> DataFrame:
-    """The same by tables: rows in parts of about a megabyte; each part's distinct windows fetch their values."""
-    shared = rows.sparkSession.sparkContext.broadcast((keys, counts))
+def _more_scores(rows: DataFrame, trees: list[Broadcast]) -> DataFrame:
+    """rid, more_score: what other parts of the tree say."""
 
-    def parts(batches):
-        for batch in K.slices(batches, "text", 1_000_000):
-            part = pa.array(np.full(batch.num_rows, batch.column("rid")[0].as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([part, *[batch.column(c) for c in ("rid", "doc_id", "text", "held_out")]], names=["part", "rid", "doc_id", "text", "held_out"])
+    def run(batches):
+        for batch in K.slices(batches, "text", 2_000_000):
+            windows, begins, _, row = symbols(*K.buffer_of(batch.column("text")), False)
+            sums = np.add.reduceat(sum(tree.value(windows) for tree in trees), begins[_runs(row)])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sums)], names=["rid", "more_score"])
 
-    def distinct(batches):
-        for batch in batches:
-            data, part = batch.column("text"), batch.column("part").to_numpy()
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                found = np.sort(symbols(*K.buffer_of(data.slice(a, b - a)))[0])
-                found = found[_runs(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part[a])), pa.array(found)], names=["part", "key"])
-
-    def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        keys, counts = shared.value
-        own, value = values["key"].to_numpy(), values["value"].to_numpy()
-        order = np.argsort(own)
-        own, value = own[order], value[order]
-        batch = texts.combine_chunks().to_batches()[0]
-        return pa.Table.from_batches([_score(batch, lambda w: value[np.searchsorted(own, w)], keys, counts)])
-
-    texts = materialize(rows.mapInArrow(parts, f"part long, rid long, doc_id {id_type}, text string, held_out boolean"), "parts")
-    asked = materialize(texts.select("part", "text").mapInArrow(distinct, "part long, key long").distinct(), "windows")  # batches may cut a part
-    values = materialize(window_values(asked.select("key").distinct(), *tree), "values")
-    found = asked.join(values.hint("merge"), "key").select("part", "key", "value")
-    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, schema)
+    return materialize(rows.select("rid", "text").mapInArrow(run, "rid long, more_score double"), "more")
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -459,11 +467,20 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     lookup = (keys[order], frequent["n"].to_numpy()[order])
     tree = fit(levels)
-    if sum(level.count() for level in tree[1]) <= TREE_ROWS:
-        scored = _scored(rows, in_memory(*tree), *lookup, schema)
-    else:
-        scored = _scored_by_joins(rows, tree, *lookup, id_type, schema)
-    scored = materialize(scored, "scored")  # fixes rid
+    small = sum(level.count() for level in tree[1]) <= TREE_ROWS
+    spans, others = [(0, 1 << 8 * DEPTH, tree[1])] if small else parts(tree[1]), []
+    if again := len(spans) > AT_ONCE:
+        rows = materialize(rows, "texts")  # fixes rid
+    for k in range(0, len(spans), AT_ONCE):
+        trees = [docs.sparkSession.sparkContext.broadcast(Memo(in_memory(tree[0], levels), low, high)) for low, high, levels in spans[k : k + AT_ONCE]]
+        if k:
+            others.append(_more_scores(rows, trees))
+        else:
+            scored = _scored(rows, trees, *lookup, schema)
+        for x in trees:
+            x.destroy()
+    if again:
+        discard(rows)
     rest = scored.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("rid", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
     seldom = words.where(F.col("n") * FREQUENT < total)
     found = rest.join(seldom.hint("merge"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -472,4 +489,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     more = lambda c, zero: F.col(c) + F.coalesce(f"more_{c}", F.lit(zero))
     out = scored.drop("rest", "times").join(found, "rid", "left")
+    if others:
+        others = reduce(DataFrame.unionAll, others).groupBy("rid").agg(F.sum("more_score").alias("more_score"))
+        out = out.join(others, "rid").withColumn("score", more("score", 0.0))
     return out.select("doc_id", "held_out", "n_tokens", more("known", 0).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (more("base", 0.0) - F.col("n_tokens") * norm).alias("base_score"), "score")

@@ -106,3 +106,23 @@ def test_counts_go_by_buckets(spark, monkeypatch, held):
         want = {(int.from_bytes(c, "little"), s): n for (c, s), n in windows[d].items() if not d or follow[c] >= M.LEAST_COUNT}
         found = level.collect()
         assert len(found) == len(want) and {(x.context, x.symbol): x.n for x in found} == want
+
+
+def test_tree_in_parts(make, monkeypatch):
+    """A tree goes to the executors in parts of a bounded size that overlap in short contexts only; scores are the same."""
+    r = random.Random(14)
+    texts = [" ".join(r.choice(["the", "of", "Tion", "edé", "你好"]) + r.choice(["", str(r.randint(0, 9))]) for _ in range(r.randint(0, 300))) for _ in range(150)] + ["", None, "never seen"]
+    sizes, build = [], M.in_memory
+
+    def built(counts, kept):
+        sizes.append(len((tree := build(counts, kept)).entries) - 256)
+        return tree
+
+    monkeypatch.setattr(M, "in_memory", built)
+    shown = lambda: {x.doc_id: (x.n_tokens, round(x.base_score, 6), round(x.score, 6)) for x in M.score_documents(make(texts)).collect()}
+    a = shown()
+    whole = sizes.pop()
+    monkeypatch.setattr(M, "TREE_ROWS", whole // 4)
+    monkeypatch.setattr(M, "PART_ROWS", whole // 4)
+    assert shown() == a
+    assert len(sizes) >= 4 and max(sizes) < whole // 4 + 7 * 256 and whole <= sum(sizes) < 2 * whole
