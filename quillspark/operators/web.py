@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 from ..functions.text import absolute_links, html_body, to_markdown
 
 
-def fetch_pages(df: DataFrame, pages: DataFrame, *, url_key: str, output_key: str = "content", page_url: str = "url", page_html: str = "html", body_only: bool = False, markdown: bool = False, absolute: bool = False) -> DataFrame:
-    """The page of each URL (or of each URL of a list) from a table; ``ERROR: ...`` where there is none."""
+def fetch_pages(df: DataFrame, pages: DataFrame, *, url_key: str, output_key: str = "content", page_url: str = "url", page_html: str = "html", same: list[str] = (), body_only: bool = False, markdown: bool = False, absolute: bool = False) -> DataFrame:
+    """The page of each URL (or of each URL of a list) from a table; ``ERROR: ...`` where there is none.
+
+    A URL may have several pages: ``same`` names the columns of both tables that say which one a row is about (as a
+    page's id or the time of its fetch). Of the pages that this leaves it is the one of least content.
+    """
     many = isinstance(df.schema[url_key].dataType, T.ArrayType)
     content = html_body(F.col("__html")) if body_only else F.col("__html")
     if absolute:
@@ -30,15 +34,23 @@ def fetch_pages(df: DataFrame, pages: DataFrame, *, url_key: str, output_key: st
 
         plain.__annotations__ = {"html": pd.Series, "return": pd.Series}
         content = F.pandas_udf(plain, T.StringType())(content)
-    known = pages.select(F.col(page_url).alias("__page"), F.col(page_html).alias("__html")).groupBy("__page").agg(F.min("__html").alias("__html"))
+    which = [F.col(c).alias(f"__same_{c}") for c in same]
+    known = pages.select(F.col(page_url).alias("__page"), *which, F.col(page_html).alias("__html")).groupBy("__page", *[f"__same_{c}" for c in same]).agg(F.min("__html").alias("__html"))
+    found = F.col("__url") == F.col("__page")
+    for c in same:
+        found = found & F.col(c).eqNullSafe(F.col(f"__same_{c}"))
     error = F.concat(F.lit("ERROR: no page at "), F.coalesce("__url", F.lit("null")))
+    content = F.when(F.col("__page").isNull(), error).otherwise(content)  # a page without content is a page
     if not many:
-        out = df.withColumn("__url", F.col(url_key)).join(known, F.col("__url") == F.col("__page"), "left")
-        return out.withColumn(output_key, F.coalesce(content, error)).drop("__url", "__page", "__html")
-    each = df.select(url_key).distinct().select(F.col(url_key).alias("__list"), F.posexplode(url_key).alias("__at", "__url"))
-    each = each.join(known, F.col("__url") == F.col("__page"), "left").withColumn("__c", F.coalesce(content, error))
-    lists = each.groupBy("__list").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__c"))), lambda s: s["__c"]).alias(output_key))
-    return df.join(lists, df[url_key] == lists["__list"], "left").drop("__list")
+        out = df.withColumn("__url", F.col(url_key)).join(known, found, "left")
+        return out.withColumn(output_key, content).drop("__url", "__page", "__html", *[f"__same_{c}" for c in same])
+    each = df.select(url_key, *same).distinct().select(F.col(url_key).alias("__list"), *same, F.posexplode(url_key).alias("__at", "__url"))
+    each = each.join(known, found, "left").withColumn("__c", content).withColumnsRenamed({c: f"__of_{c}" for c in same})
+    lists = each.groupBy("__list", *[f"__of_{c}" for c in same]).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__c"))), lambda s: s["__c"]).alias(output_key))
+    own = df[url_key] == lists["__list"]
+    for c in same:
+        own = own & df[c].eqNullSafe(lists[f"__of_{c}"])
+    return df.join(lists, own, "left").drop("__list", *[f"__of_{c}" for c in same])
 
 
 def _client_column(fetch: Callable[[str], object], kind: T.DataType, failed: Callable[[str], object]):

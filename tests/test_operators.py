@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import queries
 from quillspark.functions.models import Hashed
 from quillspark.operators import cascade, chunks, cluster, graph, groups, match, retrieval, rows, select, web
 
@@ -200,3 +201,14 @@ def test_pages(spark):
     assert {r.content for r in web.web_fetch(urls, url_key="u", fetch=fetch).collect()} == {"A", "ERROR: down"}
     found = web.web_search(urls, query="q {{ input.u }}", search=lambda q: [{"title": q, "description": "", "url": ""}] * 9, max_results=2)
     assert [len(r.results) for r in found.collect()] == [2, 2]
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    """Pages that share a URL are told apart, and one without content is no error."""
+    pages = spark.createDataFrame([(1, "u1", "b"), (2, "u1", "a"), (3, "u3", None), (10, "u1", "c"), (11, "u1#none", "d")], "page_id long, url string, html string")
+    asked = pages.select("page_id", F.array("url", F.lit("u9")).alias("links"))
+    got = web.fetch_pages(asked, pages, url_key="links", same=["page_id"])
+    assert got.columns == ["page_id", "links", "content"] and {r.page_id: r.content[0] for r in got.collect()} == {1: "b", 2: "a", 3: None, 10: "c", 11: "d"}
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.QUERIES["web_fetch_pages"](spark, str(tmp_path))
+    assert {r.page_id: r.content for r in out.collect()} == {1: "b", 2: "a", 3: None, 10: "ERROR: no page at u1#none", 11: "d"}
