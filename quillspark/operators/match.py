@@ -1,12 +1,14 @@
 """Fuzzy joins: equijoin, entity resolution, link resolution.
 
 Candidates come from blocking: each condition is its own equi-join (a disjunction would be a nested loop), similarity
-is a threshold on cosine between blocks. The candidates' distinct pairs are compared once.
+is a threshold on cosine between blocks. A pair that several conditions propose is compared once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,37 +20,102 @@ from .graph import components, stored
 
 #: Pairs that are all compared when nothing blocks.
 SMALL = 100
+#: Matches wanted of a row up to which the rows of a block are thinned out before the join; each takes a window.
+LAYERS = 16
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
+def _prefixed(df: DataFrame, prefix: str) -> list[Column]:
+    return [F.col(f"`{c}`").alias(prefix + c) for c in df.columns]
 
 
-def candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, conditions: list[str | tuple[str, str]] = (), vectors: tuple[str, str] | None = None, threshold: float | None = None) -> DataFrame:
-    """Distinct (l, r) ids that a condition or similarity proposes.
+def _numeric(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
 
-    conditions: pairs of SQL expressions (left, right) that must be equal, or SQL over ``l_*`` and ``r_*`` columns.
-    Similarity compares all vectors of both sides; give it sides that other means have cut to size.
+
+def _parts(compare) -> list[str]:
+    """The conditions of a plain conjunction; none of anything that isn't plainly one."""
+    if not isinstance(compare, str) or re.search(r"['\"`]|--|/\*|\b(or|xor|case|between)\b|\|", compare, re.I):
+        return []
+    parts = [x.strip() for x in re.split(r"\band\b", compare, flags=re.I)]
+    return parts if all(x.count("(") == x.count(")") for x in parts) else []
+
+
+def _above(compare, one: tuple[str, DataFrame], other: tuple[str, DataFrame]) -> tuple[str, bool] | None:
+    """(column, whether more of it matches more) of one side's rows, if the comparison is an inequality of two columns."""
+    parts = _parts(compare)
+    m = re.fullmatch(r"([lr])_(\w+)\s*(<=?|>=?)\s*([lr])_(\w+)", parts[0], re.I) if len(parts) == 1 else None
+    if not m or m[1].lower() == m[4].lower():
+        return None
+    own, far, more = (m[2], m[5], ">" in m[3]) if m[1].lower() == one[0] else (m[5], m[2], "<" in m[3])
+    if own not in one[1].columns or far not in other[1].columns:
+        return None
+    kinds = one[1].schema[own].dataType, other[1].schema[far].dataType
+    return (own, more) if kinds[0] == kinds[1] or (_numeric(one[1], own) and _numeric(other[1], far)) else None
+
+
+def _leading(rows: DataFrame, key: str, order: str, value: str, more: bool, n: int) -> DataFrame:
+    """The rows of each key that can be among the first n, by ``order``, of those beyond some value.
+
+    A row with n rows before it that reach as far can't be. So what stays is n layers of rows that exceed all before
+    them: about n times the logarithm of a key's rows, unless they are sorted. Parts of a key first, then what they leave.
     """
-    ids = None
-    for c in conditions:
+    best = F.max if more else F.min
+    parts = rows.sparkSession.sparkContext.defaultParallelism * 4
+    for by in ([key, F.pmod(F.xxhash64(order), F.lit(parts))], [key]):
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).withColumn("__in", F.lit(False))
+        for _ in range(n):
+            rows = rows.withColumn("__best", best(F.when(~F.col("__in"), F.col(value))).over(w))
+            ahead = F.col(value) > F.col("__best") if more else F.col(value) < F.col("__best")
+            rows = rows.withColumn("__in", F.col("__in") | F.col("__best").isNull() | ahead)
+        rows = rows.where("__in").drop("__in", "__best")
+    return rows
+
+
+def pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, conditions: list[str | tuple[str, str]] = (), vectors: tuple[str, str] | None = None, threshold: float | None = None, compare=None, first: tuple[str, int] | None = None) -> DataFrame:
+    """``l_*`` and ``r_*`` of every pair of rows that a condition or similarity proposes, once each, with their ids l and r.
+
+    A pair belongs to the first condition that proposes it, so none is shuffled to be made distinct. Pairs that
+    ``compare`` rules out may be left out: if only the first n matches of each row are wanted
+    (``first``: the side of the limit, n), an inequality leaves few rows of a block.
+    """
+    a = left.select(F.col(left_id).alias("l"), *_prefixed(left, "l_"), *[F.expr(c[0]).alias(f"__a{i}") for i, c in enumerate(conditions) if isinstance(c, tuple)])
+    b = right.select(F.col(right_id).alias("r"), *_prefixed(right, "r_"), *[F.expr(c[1]).alias(f"__b{i}") for i, c in enumerate(conditions) if isinstance(c, tuple)])
+    kept = [c for c in a.columns + b.columns if c[:2] != "__"]
+    proposed, found = [], []
+    for i, c in enumerate(conditions):
+        proposed.append(F.col(f"__a{i}") == F.col(f"__b{i}") if isinstance(c, tuple) else F.expr(c))
+        x, y, on = a, b, proposed[-1]
         if isinstance(c, tuple):
-            a = left.select(F.col(left_id).alias("l"), F.expr(c[0]).alias("k"))
-            b = right.select(F.col(right_id).alias("r"), F.expr(c[1]).alias("k"))
-            found = a.join(b, "k").select("l", "r")
-        else:
-            found = _prefixed(left, "l_").join(_prefixed(right, "r_"), F.expr(c)).select(F.col(f"l_{left_id}").alias("l"), F.col(f"r_{right_id}").alias("r"))
-        ids = found if ids is None else ids.unionByName(found)
+            if first and first[1] <= LAYERS:
+                if first[0] == "left" and (by := _above(compare, ("r", right), ("l", left))):
+                    y = _leading(y, f"__b{i}", "r", f"r_{by[0]}", by[1], first[1])
+                elif first[0] == "right" and (by := _above(compare, ("l", left), ("r", right))):
+                    x = _leading(x, f"__a{i}", "l", f"l_{by[0]}", by[1], first[1])
+            x = x.hint("merge")  # a broadcast would leave all pairs to the few tasks that read a file
+        both = x.join(y, on)
+        for earlier in proposed[:-1]:
+            both = both.where(~F.coalesce(earlier, F.lit(False)))
+        found.append(both.select(*kept))
     if vectors and threshold is not None:
-        a = left.select(F.col(left_id).alias("l"), F.col(vectors[0]).alias("va"))
-        b = right.select(F.col(right_id).alias("r"), F.col(vectors[1]).alias("vb"))
-        found = a.join(b, F.round(cosine(F.col("va"), F.col("vb")), 9) >= threshold).select("l", "r")
-        ids = found if ids is None else ids.unionByName(found)
-    if ids is None:
+        both = a.join(b, F.round(cosine(F.col(f"l_{vectors[0]}"), F.col(f"r_{vectors[1]}")), 9) >= threshold)
+        for earlier in proposed:
+            both = both.where(~F.coalesce(earlier, F.lit(False)))
+        found.append(both.select(*kept))
+    if not found:
         if left.limit(SMALL + 1).count() * right.limit(SMALL + 1).count() > SMALL:
             raise ValueError(f"more than {SMALL} pairs need blocking")
-        ids = left.select(F.col(left_id).alias("l")).join(right.select(F.col(right_id).alias("r")), F.lit(True))
-    return ids.distinct()
+        found.append(a.join(b, F.lit(True)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, conditions: list[str | tuple[str, str]] = (), vectors: tuple[str, str] | None = None, threshold: float | None = None) -> DataFrame:
+    """Distinct (l, r) ids that a condition or similarity proposes.
+
+    conditions: pairs of SQL expressions (left, right) that must be equal, or SQL over ``l_*`` and ``r_*`` columns.
+    Similarity compares all vectors of both sides; give it sides that other means have cut to size.
+    """
+    return pairs(left, right, left_id=left_id, right_id=right_id, conditions=conditions, vectors=vectors, threshold=threshold).select("l", "r").distinct()
 
 
 def pick_threshold(scored: DataFrame, label: Callable[[DataFrame], DataFrame], *, recall: float = 0.95, size: int = 100, seed: int = 42) -> float:
@@ -70,15 +137,14 @@ def pick_threshold(scored: DataFrame, label: Callable[[DataFrame], DataFrame], *
     return max((t for t in steps if sum(s >= t for s in good) >= recall * len(good)), default=0.0)
 
 
-def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, compare: Column | str | Callable[[DataFrame], DataFrame], limit: int | None = None, lengths: tuple[str, str] | None = None) -> DataFrame:
-    """The (l, r) pairs that match. compare: SQL over ``l_*`` and ``r_*``, or pairs to pairs with ``match`` (a model)."""
-    both = pairs.join(_prefixed(left, "l_"), pairs.l == F.col(f"l_{left_id}")).join(_prefixed(right, "r_"), pairs.r == F.col(f"r_{right_id}"))
+def compared(both: DataFrame, *, compare: Column | str | Callable[[DataFrame], DataFrame], limit: int | None = None, lengths: tuple[str, str] | None = None) -> DataFrame:
+    """Those of :func:`pairs` that match. compare: SQL over ``l_*`` and ``r_*``, or pairs to pairs with ``match`` (a model)."""
     if limit is not None:
         size = F.length(lengths[0]) + F.length(lengths[1]) if lengths else F.lit(0)
         both = both.orderBy(F.desc(size), "l", "r").limit(limit)
     if callable(compare) and not isinstance(compare, Column):
-        return compare(both).where("match").select("l", "r")
-    return both.where(compare).select("l", "r")
+        return compare(both).where("match")
+    return both.where(compare)
 
 
 def limited(matches: DataFrame, *, left_limit: int | None = None, right_limit: int | None = None) -> DataFrame:
@@ -111,13 +177,18 @@ def limited(matches: DataFrame, *, left_limit: int | None = None, right_limit: i
 
 def equijoin(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, compare, conditions=(), vectors=None, threshold=None, limits: dict | None = None, limit_comparisons: int | None = None, lengths: tuple[str, str] | None = None) -> DataFrame:
     """Inner join of the pairs that match; columns of both sides' names get ``_left`` and ``_right``."""
-    pairs = candidates(left, right, left_id=left_id, right_id=right_id, conditions=conditions, vectors=vectors, threshold=threshold)
-    found = compared(pairs, left, right, left_id=left_id, right_id=right_id, compare=compare, limit=limit_comparisons, lengths=lengths)
-    found = limited(found, left_limit=(limits or {}).get("left"), right_limit=(limits or {}).get("right"))
-    both = set(left.columns) & set(right.columns)
-    a = left.select(F.col(left_id).alias("__l"), *[F.col(c).alias(f"{c}_left" if c in both else c) for c in left.columns])
-    b = right.select(F.col(right_id).alias("__r"), *[F.col(c).alias(f"{c}_right" if c in both else c) for c in right.columns])
-    return found.join(a, F.col("l") == F.col("__l")).join(b, F.col("r") == F.col("__r")).drop("l", "r", "__l", "__r")
+    sides = [side for side in ("left", "right") if (limits or {}).get(side) is not None]
+    first = (sides[0], limits[sides[0]]) if len(sides) == 1 and limit_comparisons is None else None
+    both = pairs(left, right, left_id=left_id, right_id=right_id, conditions=conditions, vectors=vectors, threshold=threshold, compare=compare if limit_comparisons is None else None, first=first)
+    found = compared(both, compare=compare, limit=limit_comparisons, lengths=lengths)
+    names = set(left.columns) & set(right.columns)
+    mine = [F.col(f"`{p}{c}`").alias(f"{c}_{side}" if c in names else c) for p, side, df in (("l_", "left", left), ("r_", "right", right)) for c in df.columns]
+    if not sides and not (callable(compare) and not isinstance(compare, Column)):
+        return found.select(*mine)
+    found = limited(found.select("l", "r"), left_limit=(limits or {}).get("left"), right_limit=(limits or {}).get("right"))
+    a = left.select(F.col(left_id).alias("__l"), *_prefixed(left, "l_"))
+    b = right.select(F.col(right_id).alias("__r"), *_prefixed(right, "r_"))
+    return found.join(a, F.col("l") == F.col("__l")).join(b, F.col("r") == F.col("__r")).select(*mine)
 
 
 def clusters(df: DataFrame, *, id_key: str, compare, conditions=(), vectors: str | None = None, threshold=None, equal_keys: list[str] = (), limit_comparisons=None) -> DataFrame:
@@ -125,8 +196,8 @@ def clusters(df: DataFrame, *, id_key: str, compare, conditions=(), vectors: str
 
     Rows whose ``equal_keys`` are all equal (any case) match without comparison; they are linked in a star, never in pairs.
     """
-    pairs = candidates(df, df, left_id=id_key, right_id=id_key, conditions=conditions, vectors=(vectors, vectors) if vectors else None, threshold=threshold).where("l < r")
-    edges = compared(pairs, df, df, left_id=id_key, right_id=id_key, compare=compare, limit=limit_comparisons)
+    both = pairs(df, df, left_id=id_key, right_id=id_key, conditions=conditions, vectors=(vectors, vectors) if vectors else None, threshold=threshold, compare=compare if limit_comparisons is None else None).where("l < r")
+    edges = compared(both, compare=compare, limit=limit_comparisons).select("l", "r")
     if equal_keys:
         own = F.concat_ws("\x01", *[F.lower(F.col(k).cast("string")) for k in equal_keys])
         keyed = df.select(F.col(id_key).alias("r"), own.alias("k"))

@@ -212,3 +212,23 @@ def test_pages_of_one_url(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     out = queries.QUERIES["web_fetch_pages"](spark, str(tmp_path))
     assert {r.page_id: r.content for r in out.collect()} == {1: "b", 2: "a", 3: None, 10: "ERROR: no page at u1#none", 11: "d"}
+
+
+def _sides(spark):
+    rng = np.random.default_rng(5)
+    values = lambda n: [None if v > 48 else float("nan") if v > 46 else float(v) for v in rng.integers(0, 50, n)]
+    left = spark.createDataFrame([(i, int(g), v) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 60), values(60)))], "id int, g int, v double")
+    right = spark.createDataFrame([(i, int(g), v) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 150), values(150)))], "k int, g int, v double")
+    return left, right
+
+
+def test_limited_join_thins_blocks(spark):
+    """Only rows that may be among the first matches of some row are joined; the matches are those of a full join."""
+    left, right = _sides(spark)
+    for compare, limits in (("r_v > l_v", {"left": 2}), ("l_v >= r_v", {"left": 1}), ("r_v < l_v", {"right": 3}), ("r_v > l_v and r_k % 2 = 0", {"left": 2})):
+        out = match.equijoin(left, right, left_id="id", right_id="k", compare=compare, conditions=[("g", "g")], limits=limits)
+        every = match.candidates(left, right, left_id="id", right_id="k", conditions=[("g", "g")]).join(left.select(F.col("id").alias("l"), F.col("v").alias("l_v")), "l").join(right.select(F.col("k").alias("r"), F.col("k").alias("r_k"), F.col("v").alias("r_v")), "r")
+        wanted = match.limited(every.where(compare).select("l", "r"), left_limit=limits.get("left"), right_limit=limits.get("right"))
+        assert sorted((r.id, r.k) for r in out.collect()) == sorted((r.l, r.r) for r in wanted.collect())
+    many = spark.range(2000).select(F.col("id").alias("k"), F.lit(1).alias("g"), F.expr("cast(abs(hash(id)) % 997 as double)").alias("v"))
+    assert match.pairs(left, many, left_id="id", right_id="k", conditions=[("1", "g")], compare="r_v > l_v", first=("left", 2)).count() < left.count() * 100
