@@ -40,6 +40,16 @@ def _parts(compare) -> list[str]:
     return parts if all(x.count("(") == x.count(")") for x in parts) else []
 
 
+def _band(compare, left: DataFrame, right: DataFrame) -> tuple[str, str, float] | None:
+    """(left column, right column, width) if matches must differ by less in two numbers."""
+    for x in _parts(compare):
+        if m := re.fullmatch(r"abs\(\s*([lr])_(\w+)\s*-\s*([lr])_(\w+)\s*\)\s*<=?\s*(\d+(?:\.\d+)?)", x, re.I):
+            a, b = (m[2], m[4]) if m[1].lower() == "l" else (m[4], m[2])
+            if m[1].lower() != m[3].lower() and a in left.columns and b in right.columns and _numeric(left, a) and _numeric(right, b) and float(m[5]) > 0:
+                return a, b, float(m[5])
+    return None
+
+
 def _above(compare, one: tuple[str, DataFrame], other: tuple[str, DataFrame]) -> tuple[str, bool] | None:
     """(column, whether more of it matches more) of one side's rows, if the comparison is an inequality of two columns."""
     parts = _parts(compare)
@@ -72,13 +82,20 @@ def _leading(rows: DataFrame, key: str, order: str, value: str, more: bool, n: i
     return rows
 
 
+def _bands(value: Column, width: float) -> Column:
+    """Whole numbers that differ by one at most for values that differ by ``width`` at most; all huge ones are alike."""
+    far = float(2**50)
+    return F.rint(F.greatest(F.least(value.cast("double") / (width * 1.001), F.lit(far)), F.lit(-far))).cast("long")
+
+
 def pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, conditions: list[str | tuple[str, str]] = (), vectors: tuple[str, str] | None = None, threshold: float | None = None, compare=None, first: tuple[str, int] | None = None) -> DataFrame:
     """``l_*`` and ``r_*`` of every pair of rows that a condition or similarity proposes, once each, with their ids l and r.
 
     A pair belongs to the first condition that proposes it, so none is shuffled to be made distinct. Pairs that
-    ``compare`` rules out may be left out: if only the first n matches of each row are wanted
-    (``first``: the side of the limit, n), an inequality leaves few rows of a block.
+    ``compare`` rules out may be left out: a band of two numbers becomes part of the key, and if only the first n
+    matches of each row are wanted (``first``: the side of the limit, n), an inequality leaves few rows of a block.
     """
+    band = _band(compare, left, right)
     a = left.select(F.col(left_id).alias("l"), *_prefixed(left, "l_"), *[F.expr(c[0]).alias(f"__a{i}") for i, c in enumerate(conditions) if isinstance(c, tuple)])
     b = right.select(F.col(right_id).alias("r"), *_prefixed(right, "r_"), *[F.expr(c[1]).alias(f"__b{i}") for i, c in enumerate(conditions) if isinstance(c, tuple)])
     kept = [c for c in a.columns + b.columns if c[:2] != "__"]
@@ -92,6 +109,11 @@ def pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, con
                     y = _leading(y, f"__b{i}", "r", f"r_{by[0]}", by[1], first[1])
                 elif first[0] == "right" and (by := _above(compare, ("l", left), ("r", right))):
                     x = _leading(x, f"__a{i}", "l", f"l_{by[0]}", by[1], first[1])
+            if band:
+                at = _bands(F.col(f"l_{band[0]}"), band[2])
+                x = x.withColumn("__at", F.explode(F.array(at - 1, at, at + 1)))
+                y = y.withColumn("__band", _bands(F.col(f"r_{band[1]}"), band[2]))
+                on = on & (F.col("__at") == F.col("__band"))
             x = x.hint("merge")  # a broadcast would leave all pairs to the few tasks that read a file
         both = x.join(y, on)
         for earlier in proposed[:-1]:

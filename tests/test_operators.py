@@ -232,3 +232,16 @@ def test_limited_join_thins_blocks(spark):
         assert sorted((r.id, r.k) for r in out.collect()) == sorted((r.l, r.r) for r in wanted.collect())
     many = spark.range(2000).select(F.col("id").alias("k"), F.lit(1).alias("g"), F.expr("cast(abs(hash(id)) % 997 as double)").alias("v"))
     assert match.pairs(left, many, left_id="id", right_id="k", conditions=[("1", "g")], compare="r_v > l_v", first=("left", 2)).count() < left.count() * 100
+
+
+def test_banded_join(spark):
+    """A band of two numbers is part of the key, and a pair of several conditions comes once."""
+    left, right = _sides(spark)
+    conditions = [("g", "g"), ("floor(v / 5)", "floor(v / 5)"), "l_id = r_k"]
+    for compare in ("abs(l_v - r_v) < 4", "abs(r_v - l_v) <= 2.5 and r_k <> 7", "not (l_id > 3 and abs(l_v - r_v) < 4 and r_k > 3)", "l_id = 1 or r_k > 5 and abs(l_v - r_v) < 4"):
+        out = match.equijoin(left, right, left_id="id", right_id="k", compare=compare, conditions=conditions)
+        a, b = (df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p, df in (("l", left), ("r", right)))
+        wanted = a.crossJoin(b).where("l_g = r_g or floor(l_v / 5) = floor(r_v / 5) or l_id = r_k").where(compare)
+        assert sorted((r.id, r.k) for r in out.collect()) == sorted((r.l_id, r.r_k) for r in wanted.collect()) and out.columns == ["id", "g_left", "v_left", "k", "g_right", "v_right"]
+    near = match.pairs(left, right, left_id="id", right_id="k", conditions=conditions[:1], compare="abs(l_v - r_v) < 1")
+    assert near.count() < match.pairs(left, right, left_id="id", right_id="k", conditions=conditions[:1]).count() / 4
