@@ -278,3 +278,14 @@ def test_search_keeps_the_top_of_each_task(spark, monkeypatch):
         assert {(r.q, r.id): r["rank"] for r in got} == best and all(abs(r.score - wanted[r.q, r.id]) < 2e-6 for r in got)
     hits = retrieval._scored(docs, [(0, 0, 1), (1, 0, 2)], 2, {b"the": 0}, np.ones(1), 10.0, doc_id="id", keys=["t"], top=4)
     assert hits.count() == 3 * 2 * 4
+
+
+def test_bm25_scores_rows_where_they_are(spark):
+    texts = {1: "The of the", 2: "of tion", 3: None, 4: "w tion tion the"}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    got = retrieval.bm25(df, keys=["t"], query="tion the tion", order=["id"])
+    wanted = _bm25(texts, {0: "tion the tion"})
+    assert {r.id: r.score for r in got.collect()} == {i: pytest.approx(wanted.get((0, i), 0.0), abs=2e-6) for i in texts}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r.score for r in retrieval.bm25(df, keys=["t"], query="nowhere", order=["id"]).collect()} == {0.0}
