@@ -17,12 +17,12 @@ p (c: units shared with p, n: units):
   min(c, c') (1+t) >= t (n+n'). Members go on in a bucket for each unit that they have and p has not, and in one more
   if the second condition can hold for them; a bucket within one class is finished.
 
-So each step's rows are bounded by the members and the units by which they differ from their pivot, and a bucket of
-copies with edits of their own falls apart at once. Members far from the pivot (chance collisions of a band), and those
-of the few-member buckets that are left after a step, meet the others by a join on the bucket, which only passes on
-those whose signatures allow the similarity within five standard deviations (three links in ten million are lost by
-that). A pivot ranks above all members of the buckets that follow from it,
-so the steps end.
+So rows are bounded by the members and the units by which they differ from their pivot, and a bucket of copies with
+edits of their own falls apart at once. Members far from the pivot (chance collisions of a band), and those of the
+buckets that follow, meet the others by a join on the bucket, which only passes on those whose signatures allow the
+similarity within five standard deviations (three links in ten million are lost by that); large buckets are dealt over
+tasks. Pivots are taken once only: in what follows none is near the middle, so each further one would settle few of its
+bucket's members, in ever more steps.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SIMILAR = 80
 HOT = 5_000
 #: Units of one pivot's members beyond which they are spread over tasks.
 HOT_UNITS = 4_000_000
-#: Buckets of so many members that follow from a pivot are compared as they are, as are those far from their pivot.
+#: Members of a bucket, with all of which one of them is compared, beyond which it is spread over tasks.
 SMALL = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -235,16 +235,17 @@ def _apart(members: DataFrame, nearness: DataFrame) -> DataFrame:
 def _far_pairs(placed: DataFrame, sketches: DataFrame, similar: int, most: int) -> DataFrame:
     """doc, pivot: the far members with the others of their bucket that are of another class and may be similar."""
     placed = materialize(placed, "apart")
-    some = placed.groupBy("bucket").agg(F.count("*").alias("all"), F.max("far").alias("any_far")).where("all > 1 and any_far").select("bucket")
-    rows = placed.join(some, "bucket").join(sketches, "doc")
-    other = rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("doc", "label", "far", "n", "sketch", "c", "only")])
+    some = placed.groupBy("bucket").agg(F.count("*").alias("all"), F.max("far").alias("any_far")).where("all > 1 and any_far").select("bucket", F.floor(F.col("all") / SMALL).cast("int").alias("more"))
+    rows = materialize(placed.join(some, "bucket").join(sketches, "doc"), "compared")
+    salts = F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt")
+    other = rows.select("bucket", salts, *[F.col(c).alias(f"o_{c}") for c in ("doc", "label", "far", "n", "sketch", "c", "only")])
     fits = (F.col("label") != F.col("o_label")) & (100 * F.least("n", "o_n") >= similar * F.greatest("n", "o_n")) & (~F.col("o_far") | (F.col("doc") < F.col("o_doc")))
     # Of a common pivot's units they share c at most, of others no more than either has.
     reach = F.coalesce((100 + similar) * (F.least("c", "o_c") + F.least("only", "o_only")) >= similar * (F.col("n") + F.col("o_n")), F.lit(True))
     fits = fits & reach
-    found = rows.where("far").join(other, "bucket").where(fits & (_disagreeing("sketch", "o_sketch") <= most))
+    found = rows.where("far").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("more") + 1).cast("int")).join(other, ["bucket", "salt"]).where(fits & (_disagreeing("sketch", "o_sketch") <= most))
     out = materialize(found.select("doc", F.col("o_doc").alias("pivot")).distinct(), "far-pairs")
-    discard(placed)
+    discard(placed, rows)
     return out
 
 
@@ -255,13 +256,13 @@ def _by_unit(near: DataFrame) -> DataFrame:
     the units, so that only those in question become rows.
     """
     more = near.groupBy("pivot", "ph").agg(F.floor(F.sum(F.size("added")) / HOT_UNITS).cast("int").alias("more")).where("more > 0")
-    rows = near.select("pivot", "ph", "doc", "deg", "label", "c", "only", "added", F.lit(0).alias("slot"))
+    rows = near.select("pivot", "ph", "doc", "label", "c", "only", "added", F.lit(0).alias("slot"))
     more = materialize(more, "hot-units")
     if not more.isEmpty():
         slots = rows.drop("slot").join(broadcast_if_small(more), ["pivot", "ph"], "left").withColumn("more", F.coalesce("more", F.lit(0)) + 1)
         slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("more") - 1)))
         rows = slots.withColumn("added", F.filter("added", lambda u: F.pmod(u, F.col("more")) == F.col("slot"))).drop("more").where(F.size("added") > 0)
-    names = ["doc", "deg", "label", "c", "only"]
+    names = ["doc", "label", "c", "only"]
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -285,13 +286,13 @@ def _by_unit(near: DataFrame) -> DataFrame:
             some = owner[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), *[pa.array(columns[n][some]) for n in names]], names=["bucket", *names])
 
-    return rows.repartition("pivot", "ph", "slot").drop("slot").mapInArrow(run, "bucket long, doc long, deg long, label long, c long, only long")
+    return rows.repartition("pivot", "ph", "slot").drop("slot").mapInArrow(run, "bucket long, doc long, label long, c long, only long")
 
 
 def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFrame:
-    """bucket, size, doc, deg, label, c, only (units that the pivot has not): where members can still be linked to each other, given what they share with their pivot.
+    """bucket, doc, label, c, only (units that the pivot has not): where members can still be linked to each other, given what they share with their pivot.
 
-    near: doc, pivot, ph, n, pn, c, added, deg of the members that aren't far from the pivot.
+    near: doc, pivot, ph, n, pn, c, added of the members that aren't far from the pivot.
     """
     if roots is not None:
         near = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
@@ -311,9 +312,9 @@ def _following(near: DataFrame, roots: DataFrame | None, similar: int) -> DataFr
     with_unlinked = (F.col("reach") >= F.col("best_n_false")) | (F.col("n") <= F.col("best_reach_false"))
     with_linked = (F.col("reach") >= F.col("best_n_true")) | (F.col("n") <= F.col("best_reach_true"))
     met = met.where(F.coalesce(with_unlinked, F.lit(False)) | (~F.col("linked") & F.coalesce(with_linked, F.lit(False))))
-    every = materialize(by_unit.unionByName(met.select(F.xxhash64(F.lit(2), "pivot", "ph").alias("bucket"), "doc", "deg", "label", "c", "only")), "following")
+    every = materialize(by_unit.unionByName(met.select(F.xxhash64(F.lit(2), "pivot", "ph").alias("bucket"), "doc", "label", "c", "only")), "following")
     mixed = every.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("a <> b")
-    mixed = mixed.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # one of those with the same members
+    mixed = mixed.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")  # one of those with the same members
     out = materialize(every.join(broadcast_if_small(materialize(mixed, "mixed")), "bucket"), "members")
     discard(near, every)
     return out
@@ -354,29 +355,37 @@ def _classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     units = _bag_rows(first.join(wanted, "uid", "left_semi"))
     units = materialize(units.dropDuplicates(["doc", "h"]) if repeated else units, "bags")
     sketches = sigs.select(F.col("uid").alias("doc"), "n", "sketch")
-    members = materialize(members.withColumns({"size": F.lit(SMALL + 1).cast("long"), "c": F.lit(None).cast("long"), "only": F.lit(None).cast("long")}).join(degrees, "doc").withColumn("label", F.col("doc")), "members")
+    members = materialize(members.select("bucket", "doc").join(degrees, "doc").withColumn("label", F.col("doc")), "members")
     p, size = similar / 100 + (1 - similar / 100) / 16, bands * rows  # a component's four bits agree with probability p
     most = int(size * (1 - p) + 5 * (size * p * (1 - p)) ** 0.5) + 1
     apart = max(0, 2 * similar - 100)
     roots = None
-    while not members.isEmpty():
-        small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-        best = large.groupBy("bucket").agg(F.min(F.struct(-F.col("deg"), "doc")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"))
-        placed = materialize(large.join(broadcast_if_small(materialize(best, "pivots")), "bucket").where("doc <> pivot"), "placed")
-        near = materialize(_measured(placed.select("doc", "pivot").distinct(), units).join(degrees, "doc"), "near")
-        total = F.col("n") + F.col("pn")
-        linked, close = _shares(F.col("c"), total, similar), _shares(F.col("c"), total, apart)
-        nearness = near.groupBy("doc", "pivot").agg(F.min(~close).alias("far"), F.max(linked).alias("linked"))
-        far = _far_pairs(_apart(placed, nearness).unionByName(small.select("bucket", "doc", "label", F.lit(True).alias("far"), "c", "only")), sketches, similar, most)
-        links = near.where(linked).select("doc", "pivot").unionByName(_measured(far, units).where(linked).select("doc", "pivot"))
+
+    def joined(links: DataFrame) -> None:
+        nonlocal roots
         links = materialize(links.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "links")
         if not links.isEmpty():
             fresh = _joined_classes(roots, links)
             discard(*([roots] if roots is not None else []))
             roots = fresh
+        discard(links)
+
+    if not members.isEmpty():
+        best = members.groupBy("bucket").agg(F.min(F.struct(-F.col("deg"), "doc")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"))
+        placed = materialize(members.join(broadcast_if_small(materialize(best, "pivots")), "bucket").where("doc <> pivot"), "placed")
+        near = materialize(_measured(placed.select("doc", "pivot").distinct(), units), "near")
+        total = F.col("n") + F.col("pn")
+        linked, close = _shares(F.col("c"), total, similar), _shares(F.col("c"), total, apart)
+        nearness = near.groupBy("doc", "pivot").agg(F.min(~close).alias("far"), F.max(linked).alias("linked"))
+        far = _far_pairs(_apart(placed, nearness), sketches, similar, most)
+        joined(near.where(linked).select("doc", "pivot").unionByName(_measured(far, units).where(linked).select("doc", "pivot")))
         following = _following(near.where(close), roots, similar)
-        discard(members, placed, near, far, links)
-        members = following
+        discard(members, placed, near, far)
+        if not following.isEmpty():
+            far = _far_pairs(following.withColumn("far", F.lit(True)), sketches, similar, most)
+            joined(_measured(far, units).where(linked).select("doc", "pivot"))
+            discard(far)
+        discard(following)
     least = texts.withColumn("class", F.col("rep"))
     if roots is not None:
         named_roots = roots.join(roots.groupBy("root").agg(F.min("node").alias("class")), "root").select(F.col("node").alias("rep"), "class")

@@ -160,3 +160,18 @@ def test_only_units_in_question_become_rows(spark, monkeypatch):
         for x in found:
             groups.setdefault(x.bucket, set()).add(x.doc)
         assert len(found) == 200 and sorted(map(sorted, groups.values())) == [list(range(k, 200, 4)) for k in range(4)]
+
+
+def test_pivots_are_taken_once(make, monkeypatch):
+    """Classes of a group with chains of edits are those of brute force, in two steps, however small a task's share is."""
+    rng = np.random.default_rng(11)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for _ in range(12):  # edits in common, over those of each document's own
+        some = [w if rng.random() > 0.03 else f"e{rng.integers(0, 9)}" for w in base]
+        docs += [" ".join(w if rng.random() > 0.01 else f"x{rng.integers(0, 99)}" for w in some) for _ in range(9)]
+    monkeypatch.setattr(N, "SMALL", 2)
+    steps, following = [], N._following
+    monkeypatch.setattr(N, "_following", lambda *a: steps.append(1) or following(*a))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(make(list(enumerate(docs)))).collect()}
+    wanted = brute(list(enumerate(docs)))
+    assert len(steps) == 1 and 1 < len(set(wanted.values())) < len(docs) and got == wanted
